@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, token_count
+from . import bpe, chat, mixing, quality, token_count
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_count.query,
+        "op3_source_mixing": mixing.query,
         "op5_byte_bpe": bpe.query,
+        "op7_chat_formatting": chat.query,
         "op9_quality_rules": quality.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat_formatting": chat.ORACLE}
