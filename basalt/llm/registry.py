@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embed_dedup, minhash, mixing, quality, token_count
+from . import bpe, chat, embed_dedup, line_dedup, minhash, mixing, quality, substring, token_count
 
 
 def queries() -> dict:
@@ -10,9 +10,11 @@ def queries() -> dict:
         "op1_token_counts": token_count.query,
         "op2_embedding_near_dedup": embed_dedup.query,
         "op3_source_mixing": mixing.query,
+        "op4_line_dedup": line_dedup.query,
         "op5_byte_bpe": bpe.query,
         "op6_minhash_near_dedup": minhash.query,
         "op7_chat_formatting": chat.query,
+        "op8_substring_dedup": substring.query,
         "op9_quality_rules": quality.query,
     }
 
