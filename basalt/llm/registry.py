@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embed_dedup, line_dedup, minhash, mixing, quality, substring, token_count
+from . import bpe, chat, embed_dedup, line_dedup, minhash, mixing, pii, quality, substring, token_count
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_chat_formatting": chat.query,
         "op8_substring_dedup": substring.query,
         "op9_quality_rules": quality.query,
+        "op10_pii_surrogates": pii.query,
     }
 
 

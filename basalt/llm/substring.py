@@ -56,7 +56,7 @@ def shifted(fingerprints: np.ndarray) -> np.ndarray:
 def prepared(docs: DataFrame) -> DataFrame:
     """doc (the id, null last), salt (of the text, tells rows of one id apart), doc_id and text."""
     text = F.coalesce(docs["text"], F.lit(""))
-    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).cast("int").alias("salt"), docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
+    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("doc"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("salt"), docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
 
 
 def fingerprints(docs: DataFrame, width: int, gram: int) -> DataFrame:
