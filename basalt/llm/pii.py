@@ -56,7 +56,7 @@ def _turned(c: Column, by: Column, classes: list[str]) -> Column:
     """c moved on within its class; characters of no class stay."""
     out = c
     for letters in reversed(classes):
-        at = F.locate(c, F.lit(letters))
+        at = F.position(c, F.lit(letters))
         out = F.when(at > 0, F.substring(F.lit(letters), (F.pmod(at - 1 + by, F.lit(len(letters))) + 1).cast("int"), F.lit(1))).otherwise(out)
     return out
 
