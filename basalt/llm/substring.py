@@ -8,7 +8,8 @@ first. Equal windows have equal minimisers, so a window whose minimiser occurs o
 gives a fingerprint. The index is a list of *runs*, sorted tables of the distinct fingerprints of a batch, never changed
 once written. A batch's own run is merge-joined with each historical run; the fingerprints found there, and those that the batch
 has twice, are *shared*. Only windows of shared fingerprints are emitted, from the batch and from the history, and
-verified: sorted by 96 bits of hash of their 20 words and by document, all but the first are repeats. When there are
+verified: a fingerprint's windows meet
+in one task, are sorted by a 64-bit hash of all their words and by document, and all but the first are repeats. When there are
 more than ``most_runs`` runs they are merged into one.
 
 Shared fingerprints reach the tasks as a filter of 2^27 bits (16 MB, whatever the input): one that it lets through by chance
@@ -126,46 +127,78 @@ def repeats(docs: DataFrame, bits, width: int, gram: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                cols = [[] for _ in range(5)]
-                for doc, salt, text in zip(part.column("doc").to_pylist(), part.column("salt").to_pylist(), part.column("text").to_pylist(), strict=True):
+                cols = [[np.empty(0, np.int64)] for _ in range(5)]
+                for i, text in enumerate(part.column("text").to_pylist()):
                     h = hashes_of(text.encode().split(), memo)
-                    value, _ = minimisers(h, width, gram)
-                    at_ = np.nonzero(passes(found, shifted(value)))[0]
-                    if len(at_):
-                        cols[0].append(windows(h, width)[at_].view(np.int64))
-                        cols[1].append((windows(mix(h), width)[at_] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                        cols[2].append(np.full(len(at_), doc, np.int64))
-                        cols[3].append(np.full(len(at_), salt, np.int32))
-                        cols[4].append(at_.astype(np.int32))
-                if cols[0]:
-                    key, check, doc, salt, start = map(np.concatenate, cols)
-                    order = np.lexsort((start, salt, doc, check, key))
-                    key, check, doc, salt, start = (x[order] for x in (key, check, doc, salt, start))
-                    later = np.concatenate([[False], (key[1:] == key[:-1]) & (check[1:] == check[:-1]) & ((doc[1:] != doc[:-1]) | (salt[1:] != salt[:-1]) | (start[1:] != start[:-1]))])
-                    # a marked row no longer needs its hash: it is dealt by its document
-                    key = np.where(later, mix(doc.view(np.uint64) + start.astype(np.uint64)).view(np.int64), key)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, check, doc, salt, start)] + [pa.array(later)], ["key", "check", "doc", "salt", "start", "marked"])
+                    value, where = minimisers(h, width, gram)
+                    start = np.nonzero(passes(found, shifted(value)))[0]
+                    if len(start):
+                        for col, x in zip(cols, (windows(h, width)[start].view(np.int64), value[start].view(np.int64), where[start], np.full(len(start), i), start), strict=True):
+                            col.append(x)
+                key, value, where, row, start = map(np.concatenate, cols)
+                if not len(key):
+                    continue
+                doc, salt = (np.asarray(part.column(c)) for c in ("doc", "salt"))
+                order = np.lexsort((start, salt[row], doc[row], key))
+                k, d, t, s = key[order], doc[row[order]], salt[row[order]], start[order]
+                marked = np.zeros(len(key), bool)
+                # not the first: an equal window of another place stands before it, be it of the same row read twice or not
+                new = np.concatenate([[True], k[1:] != k[:-1]])
+                head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+                marked[order] = (d != d[head]) | (t != t[head]) | (s != s[head])
+                yield from segments(doc, salt, value, where, row, start, key, ~marked)
+                yield from segments(doc, salt, mix(row.astype(np.uint64) + doc[row].view(np.uint64)).view(np.int64), row, row, start, None, marked)
+
+    def segments(doc, salt, value, where, row, start, key, which):
+        """A row for each run of windows of one document and minimiser, with their hashes or, marked ones, none."""
+        value, where, row, start = (x[which] for x in (value, where, row, start))
+        if not len(row):
+            return
+        cut = np.nonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (where[1:] != where[:-1]) | (start[1:] != start[:-1] + 1)]))[0]
+        ends = np.append(cut, len(row)).astype(np.int32)
+        hashes = pa.nulls(len(cut), pa.list_(pa.int64())) if key is None else pa.ListArray.from_arrays(pa.array(ends), pa.array(key[which]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(value[cut]), pa.array(doc[row[cut]]), pa.array(salt[row[cut]]), pa.array(start[cut].astype(np.int32)), pa.array(np.diff(ends).astype(np.int32)), hashes],
+            ["fingerprint", "doc", "salt", "start", "n", "hashes"],
+        )
+
+    def grouped(doc, salt, start):
+        """A row for each document, with its starts."""
+        order = np.lexsort((start, salt, doc))
+        doc, salt, start = doc[order], salt[order], start[order]
+        cut = np.nonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (salt[1:] != salt[:-1])]))[0]
+        starts = pa.ListArray.from_arrays(pa.array(np.append(cut, len(doc)).astype(np.int32)), pa.array(start))
+        return pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(salt[cut]), starts], ["doc", "salt", "starts"])
 
     def later(batches):
-        before = None
+        """Rows come by key, document and start; what does not come first of its key is repeated."""
+        last, held, n = None, [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, check, doc, salt, start, marked = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            same = np.zeros(len(key), bool)
-            same[1:] = (key[1:] == key[:-1]) & (check[1:] == check[:-1]) & ~marked[1:] & ~marked[:-1]
-            if before is not None:
-                same[0] = before[0] == key[0] and before[1] == check[0] and not marked[0]
-            if not marked.all():
-                last = np.nonzero(~marked)[0][-1]
-                before = (key[last], check[last])
-            keep = pa.array(same | marked)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (2, 3, 4)], ["doc", "salt", "start"]).filter(keep)
-
-    rows = docs.mapInArrow(emit, "key long, check int, doc long, salt int, start int, marked boolean")
-    order = ["marked", "key", "check", "doc", "salt", "start"]  # marked rows come last and part no run
-    dealt = rows.repartition("key").sortWithinPartitions(*order).select("key", "check", "doc", "salt", "start", "marked")
-    return dealt.mapInArrow(later, "doc long, salt int, start int").groupBy("doc", "salt").agg(F.collect_list("start").alias("starts"))
+            key, doc, salt, start = (np.asarray(batch.column(c)) for c in ("key", "doc", "salt", "start"))
+            new = np.concatenate([[last is None or key[0] != last[0]], key[1:] != key[:-1]])
+            head = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            first = [np.where(head >= 0, x[head], f) for x, f in zip((doc, salt, start), last[1:] if last else (0, 0, 0), strict=True)]
+            repeated = (doc != first[0]) | (salt != first[1]) | (start != first[2])
+            last = (key[-1], first[0][-1], first[1][-1], first[2][-1])
+            held.append((doc[repeated], salt[repeated], start[repeated]))
+            n += len(held[-1][0])
+            if n > 1_000_000:
+                yield grouped(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield grouped(*map(np.concatenate, zip(*held, strict=True)))
+
+    rows = docs.mapInArrow(emit, "fingerprint long, doc long, salt int, start int, n int, hashes array<long>")
+    # the hashes of a fingerprint meet in one task, are spread out and sorted there
+    dealt = rows.repartition("fingerprint")
+    told = dealt.where("hashes is not null").select("doc", "salt", F.col("start").alias("from"), F.posexplode("hashes").alias("i", "key"))
+    told = told.select("key", "doc", "salt", (F.col("from") + F.col("i")).alias("start")).sortWithinPartitions("key", "doc", "salt", "start")
+    schema = "doc long, salt int, starts array<int>"
+    marked = dealt.where("hashes is null").select("doc", "salt", F.sequence("start", F.col("start") + F.col("n") - 1).alias("starts"))
+    both = told.mapInArrow(later, schema).unionByName(marked)
+    return both.groupBy("doc", "salt").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def covered(n_words: int, starts: list[int] | None, width: int) -> np.ndarray:
