@@ -176,6 +176,15 @@ def repeats(docs: DataFrame, bits, width: int, gram: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
+            plain = batch.column("key").is_null().to_numpy(zero_copy_only=False)
+            if plain.any():  # marked windows come first, as runs
+                doc, salt, start, size = (np.asarray(batch.column(c))[plain] for c in ("doc", "salt", "start", "n"))
+                within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                held.append((np.repeat(doc, size), np.repeat(salt, size), (np.repeat(start, size) + within).astype(np.int32)))
+                n += len(held[-1][0])
+                batch = batch.filter(pa.array(~plain))
+                if not batch.num_rows:
+                    continue
             key, doc, salt, start = (np.asarray(batch.column(c)) for c in ("key", "doc", "salt", "start"))
             new = np.concatenate([[last is None or key[0] != last[0]], key[1:] != key[:-1]])
             head = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
@@ -192,13 +201,9 @@ def repeats(docs: DataFrame, bits, width: int, gram: int) -> DataFrame:
 
     rows = docs.mapInArrow(emit, "fingerprint long, doc long, salt int, start int, n int, hashes array<long>")
     # the hashes of a fingerprint meet in one task, are spread out and sorted there
-    dealt = rows.repartition("fingerprint")
-    told = dealt.where("hashes is not null").select("doc", "salt", F.col("start").alias("from"), F.posexplode("hashes").alias("i", "key"))
-    told = told.select("key", "doc", "salt", (F.col("from") + F.col("i")).alias("start")).sortWithinPartitions("key", "doc", "salt", "start")
-    schema = "doc long, salt int, starts array<int>"
-    marked = dealt.where("hashes is null").select("doc", "salt", F.sequence("start", F.col("start") + F.col("n") - 1).alias("starts"))
-    both = told.mapInArrow(later, schema).unionByName(marked)
-    return both.groupBy("doc", "salt").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    dealt = rows.repartition("fingerprint").select("doc", "salt", F.col("start").alias("from"), "n", F.posexplode_outer("hashes").alias("i", "key"))
+    told = dealt.select("key", "doc", "salt", (F.col("from") + F.coalesce("i", F.lit(0))).alias("start"), "n").sortWithinPartitions("key", "doc", "salt", "start")
+    return told.mapInArrow(later, "doc long, salt int, starts array<int>").groupBy("doc", "salt").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def covered(n_words: int, starts: list[int] | None, width: int) -> np.ndarray:
