@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
+from itertools import groupby
+from math import exp
 from statistics import median
 
 import pandas as pd
@@ -14,6 +17,29 @@ from basalt.sources import tables
 BOXES = "image long, id int, x1 double, y1 double, x2 double, y2 double, score double, label string"
 
 
+def by_image(df: DataFrame, run, schema: str) -> DataFrame:
+    """run(list of rows) for each image, giving tuples of schema; many images share one call into Python.
+
+    Rows come sorted by image; a task holds one Arrow batch and one image.
+    """
+    names, out = df.columns, [f.split()[0] for f in schema.split(", ")]
+    place = names.index("image")
+
+    def task(batches):
+        row, held = namedtuple("Box", names), []
+        for batch in batches:
+            found = []
+            for image, rows in groupby(zip(*(batch[c].tolist() for c in names), strict=True), key=lambda r: r[place]):
+                if held and held[0][place] != image:
+                    found += run(held)
+                    held = []
+                held += map(row._make, rows)
+            yield pd.DataFrame(found, columns=out)
+        yield pd.DataFrame(run(held) if held else [], columns=out)
+
+    return df.repartition("image").sortWithinPartitions("image").mapInPandas(task, schema)
+
+
 def area(b: str = "") -> Column:
     return F.greatest(F.col(f"{b}x2") - F.col(f"{b}x1"), F.lit(0.0)) * F.greatest(F.col(f"{b}y2") - F.col(f"{b}y1"), F.lit(0.0))
 
@@ -65,32 +91,29 @@ def ratio(a, b) -> float:
 def nms(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Boxes that no better one of their image overlaps by more than the threshold; ties by id."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        for r in rows.sort_values(["score", "id"], ascending=[False, True]).itertuples():
+    def run(rows: list) -> list:
+        kept: list = []
+        for r in sorted(rows, key=lambda r: (-r.score, r.id)):
             if all(ratio(r, k) <= threshold for k in kept):
                 kept.append(r)
-        return pd.DataFrame(kept, columns=["Index", *rows.columns])[list(rows.columns)]
+        return kept
 
-    return boxes.groupBy("image").applyInPandas(run, BOXES)
+    return by_image(boxes, run, BOXES)
 
 
 def soft_nms(boxes: DataFrame, sigma: float = 0.5, drop: float = 0.65, least: float = 0.05) -> DataFrame:
     """Scores fall with the overlap with better boxes; beyond ``drop`` a box goes."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import math
-
-        left, out = [[r, r.score] for r in rows.sort_values(["score", "id"], ascending=[False, True]).itertuples()], []
+    def run(rows: list) -> list:
+        left, out = list(rows), []
         while left:
-            left.sort(key=lambda x: (-x[1], x[0].id))
-            (best, s), left = left[0], left[1:]
-            out.append({**{c: getattr(best, c) for c in rows.columns}, "score": s})
-            left = [[r, t * math.exp(-(o**2) / sigma)] for r, t in left if (o := ratio(best, r)) < drop]
-            left = [x for x in left if x[1] >= least]
-        return pd.DataFrame(out, columns=list(rows.columns))
+            best = min(left, key=lambda r: (-r.score, r.id))
+            out.append(best)
+            rest = [(r, o) for r in left if r is not best and (o := ratio(best, r)) < drop]
+            left = [r._replace(score=s) for r, o in rest if (s := r.score * exp(-(o**2) / sigma)) >= least]
+        return out
 
-    return boxes.groupBy("image").applyInPandas(run, BOXES)
+    return by_image(boxes, run, BOXES)
 
 
 def drop_containers(boxes: DataFrame, inside: float = 0.9, least: int = 2) -> DataFrame:
@@ -108,24 +131,22 @@ def planks(boxes: DataFrame, within: float = 0.5) -> DataFrame:
     Returns BOXES and plank (0 at the top) and slot (0 at the left).
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: list) -> list:
         groups: list[list] = []
-        for r in rows.assign(mid=(rows.y1 + rows.y2) / 2).sort_values(["mid", "x1", "id"]).itertuples():
+        for r in sorted(rows, key=lambda r: ((r.y1 + r.y2) / 2, r.x1, r.id)):
             best = None
             for g in groups:
-                bottom, height = median(k.y2 for k in g), median(k.y2 - k.y1 for k in g)
-                away = abs(r.y2 - bottom)
-                if away <= within * max(height, 1.0) and (best is None or away < best[0]):
+                away = abs(r.y2 - median(k.y2 for k in g))
+                if away <= within * max(median(k.y2 - k.y1 for k in g), 1.0) and (best is None or away < best[0]):
                     best = away, g
             if best:
                 best[1].append(r)
             else:
                 groups.append([r])
         groups.sort(key=lambda g: sum((k.y1 + k.y2) / 2 for k in g) / len(g))
-        out = [{**{c: getattr(k, c) for c in rows.columns}, "plank": i, "slot": j} for i, g in enumerate(groups) for j, k in enumerate(sorted(g, key=lambda k: (k.x1, k.id)))]
-        return pd.DataFrame(out, columns=[*rows.columns, "plank", "slot"])
+        return [(*k, i, j) for i, g in enumerate(groups) for j, k in enumerate(sorted(g, key=lambda k: (k.x1, k.id)))]
 
-    return boxes.groupBy("image").applyInPandas(run, BOXES + ", plank int, slot int")
+    return by_image(boxes, run, BOXES + ", plank int, slot int")
 
 
 QUERIES = {

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .geometry import demo_boxes, iou
+from .geometry import by_image, demo_boxes, iou
 
 
 def candidates(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -20,16 +19,16 @@ def candidates(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5) -
 def greedy(pairs: DataFrame) -> DataFrame:
     """The best pair first, ties by the larger ids; every box at most once."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: list) -> list:
         seen_p, seen_t, out = set(), set(), []
-        for r in rows.sort_values(["iou", "p", "t"], ascending=False).itertuples(index=False):
+        for r in sorted(rows, key=lambda r: (r.iou, r.p, r.t), reverse=True):
             if r.p not in seen_p and r.t not in seen_t:
                 seen_p.add(r.p)
                 seen_t.add(r.t)
                 out.append(r)
-        return pd.DataFrame(out, columns=rows.columns)
+        return out
 
-    return pairs.groupBy("image").applyInPandas(run, "image long, p int, t int, iou double")
+    return by_image(pairs.select("image", "p", "t", "iou"), run, "image long, p int, t int, iou double")
 
 
 def match(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
