@@ -34,7 +34,7 @@ from .scratch import Scratch
 from .words import hashes_of, mix, slices, windows, word_hashes
 
 BANDS, ROWS, BITS = 24, 4, 4
-#: Members of a block that are compared with each other, and likeliest pairs of two components confirmed at once.
+#: Members of a block that are compared with each other; likeliest pairs of two components confirmed first, eight times as many each round.
 BLOCK, AT_ONCE = 512, 32
 #: How far below the threshold an estimate may lie: five standard errors at 0.8.
 MARGIN = 0.2
@@ -194,17 +194,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     tested = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     waiting = across(members, least).groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
     waiting = scratch.keep(waiting.join(tested, ["a", "b"], "left_anti"), "waiting0")
-    k_round = 0
+    k_round, at_once = 0, AT_ONCE
     while not waiting.isEmpty():
         k_round += 1
         in_a, in_b = found.select(F.col("node").alias("a"), F.col("component").alias("ca")), found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         open_ = waiting.join(in_a, "a", "left").join(in_b, "b", "left").select("a", "b", "estimate", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
         order = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("estimate"), "a", "b")
         open_ = scratch.keep(open_.withColumn("place", F.row_number().over(order)), f"open{k_round}")
-        more = scratch.keep(confirmed(open_.where(f"place <= {AT_ONCE}"), texts, k, percent), f"links{k_round}")
-        links = links.unionByName(more)
-        found = components(links, scratch, f"found{k_round}")
-        waiting = scratch.keep(open_.where(f"place > {AT_ONCE}").select("a", "b", "estimate"), f"waiting{k_round}")
+        more = scratch.keep(confirmed(open_.where(f"place <= {at_once}"), texts, k, percent), f"links{k_round}")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links, scratch, f"found{k_round}")
+        waiting = scratch.keep(open_.where(f"place > {at_once}").select("a", "b", "estimate"), f"waiting{k_round}")
+        at_once *= 8
 
     named = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles", "digest")
