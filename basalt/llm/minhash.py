@@ -23,13 +23,12 @@ an empty table; texts are read whole.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .components import components
+from .components import components, joined
 from .scratch import Scratch
 from .words import hashes_of, mix, slices, windows, word_hashes
 
@@ -150,23 +149,55 @@ def blocks(members: DataFrame) -> DataFrame:
     return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("n", "other")
 
 
+def crossing(sig, node, comp, own, one_block, least):
+    """Likely pairs (a, b, estimate) of different components of one pair of blocks; the largest component comes last, so is never compared with itself."""
+    _, at, size = np.unique(comp, return_inverse=True, return_counts=True)
+    order = np.lexsort((at, size[at]))
+    sig, node, at, own = sig[order], node[order], at[order], own[order]
+    ends = np.append(np.nonzero(np.diff(at))[0] + 1, len(at))
+    begin = 0
+    for end in ends[:-1]:
+        for r in range(begin, end):
+            e = estimates(sig[r], sig[end:])
+            hit = e >= least
+            if not one_block:
+                hit &= own[end:] != own[r]
+            if hit.any():
+                s = node[end:][hit]
+                yield np.minimum(node[r], s), np.maximum(node[r], s), e[hit]
+        begin = end
+
+
 def across(members: DataFrame, least: float) -> DataFrame:
-    """Likely pairs of different components within buckets."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(rows.sig), np.uint8).reshape(len(rows), -1)
-        node, comp, own = rows.node.to_numpy(), rows.comp.to_numpy(), rows.own.to_numpy()
-        i, j = rows.i.iloc[0], rows.j.iloc[0]
-        found = []
-        for r in range(len(rows)):
-            if own[r] != i:
-                continue
-            e = estimates(sig[r], sig)
-            at = np.nonzero((e >= least) & (comp != comp[r]) & (own == j) & ((i != j) | (node > node[r])))[0]
-            found += [(min(node[r], node[s]), max(node[r], node[s]), e[s]) for s in at]
-        return pd.DataFrame(found, columns=["a", "b", "estimate"])
+    """Likely pairs of different components within buckets; a worker holds one pair of blocks at a time."""
 
-    return blocks(members).groupBy("key", "i", "j").applyInPandas(run, "a long, b long, estimate double")
+    def run(batches):
+        def pairs(group):
+            sig, node, comp, own, i, j = (np.concatenate(x) for x in zip(*group, strict=True))
+            sig = sig.reshape(len(node), -1)
+            found = list(crossing(sig, node, comp, own, i[0] == j[0], least))
+            if found:
+                a, b, e = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(e)], ["a", "b", "estimate"])
+
+        group, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node, comp, own, i, j = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "comp", "own", "i", "j"))
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(len(key), -1)
+            cuts = np.nonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))[0] + 1
+            for x, y in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                if last != (key[x], i[x], j[x]):
+                    if group:
+                        yield from pairs(group)
+                    group, last = [], (key[x], i[x], j[x])
+                group.append((sig[x:y].ravel(), node[x:y], comp[x:y], own[x:y], i[x:y], j[x:y]))
+        if group:
+            yield from pairs(group)
+
+    dealt = blocks(members).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.select("key", "i", "j", "own", "node", "comp", "sig").mapInArrow(run, "a long, b long, estimate double")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -203,8 +234,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         open_ = scratch.keep(open_.withColumn("place", F.row_number().over(order)), f"open{k_round}")
         more = scratch.keep(confirmed(open_.where(f"place <= {at_once}"), texts, k, percent), f"links{k_round}")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links, scratch, f"found{k_round}")
+            between = open_.join(more, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            found = joined(found, between, scratch, f"found{k_round}")
         waiting = scratch.keep(open_.where(f"place > {at_once}").select("a", "b", "estimate"), f"waiting{k_round}")
         at_once *= 8
 
