@@ -7,7 +7,8 @@ exact copies cost one comparison however many they are.
 ``bands * rows`` minima sign a set. Groups of ``rows`` minima are band keys: at similarity 0.8, 24 bands of 4 miss a pair
 with a chance of 3e-6. Of every minimum the lowest 4 bits are kept, packed; the share of equal ones, less
 the 1/16 that agree by chance, estimates the similarity. Candidates estimated at 0.2 below the threshold or less (five
-standard errors) are passed over; all others are confirmed on the full sets.
+standard errors) are passed over. The others are estimated again by the minima of 512 bins of one permutation, 4 bits each too (0: an
+empty bin), and passed over at 0.1 below the threshold or less, again five standard errors. What is left is confirmed on the full sets.
 
 Candidates are not all pairs of a band's bucket. Each bucket's first member (one random order for all buckets, so a group
 of copies meets the same centre) is compared with the others, and links are contracted to components. Only buckets
@@ -37,6 +38,8 @@ BANDS, ROWS, BITS = 24, 4, 4
 BLOCK, AT_ONCE = 512, 32
 #: How far below the threshold an estimate may lie: five standard errors at 0.8.
 MARGIN = 0.2
+#: The second signature's bins (a power of two), and how far below the threshold its estimate may lie: five standard errors at 0.8.
+BINS, FINE_MARGIN = 512, 0.1
 
 _random = np.random.default_rng(20240229)
 _XOR = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -68,18 +71,51 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def packed(m: np.ndarray) -> bytes:
-    low = (m & np.uint32(15)).astype(np.uint8)
-    return (low[0::2] | low[1::2] << 4).tobytes()
+def fine(found: np.ndarray) -> np.ndarray:
+    """A code of 1 to 15 for the least hash of every bin of one permutation, 0 for an empty bin."""
+    x = np.sort(mix(found ^ np.uint64(0x5851F42D4C957F2D)))
+    at, first = np.unique(x >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+    out = np.zeros(BINS, np.uint8)
+    out[at.astype(np.int64)] = x[first] % np.uint64(15) + np.uint64(1)
+    return out
+
+
+def nibbles(codes: np.ndarray) -> bytes:
+    return (codes[0::2] | codes[1::2] << 4).tobytes()
+
+
+def packed(m: np.ndarray, found: np.ndarray) -> bytes:
+    """The low bits of the minima, then those of the bins."""
+    return nibbles((m & np.uint32(15)).astype(np.uint8)) + nibbles(fine(found))
 
 
-def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarities from packed signatures (bytes in the last axis), corrected for chance agreement of 1 in 16."""
+def coarse_estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarities from the packed minima (bytes in the last axis), corrected for chance agreement of 1 in 16."""
     x = a ^ b
     same = ((x & 15) == 0).sum(-1, dtype=np.int32) + ((x >> 4) == 0).sum(-1, dtype=np.int32)
     return (same / (BANDS * ROWS) - 1 / 16) / (1 - 1 / 16)
 
 
+def fine_estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarities from the packed bins; of those filled on both sides, 1 in 15 agrees by chance."""
+    same, both, either = 0, 0, 0
+    for x, y in ((a & 15, b & 15), (a >> 4, b >> 4)):
+        filled = (x > 0) & (y > 0)
+        same = same + (filled & (x == y)).sum(-1, dtype=np.int32)
+        both = both + filled.sum(-1, dtype=np.int32)
+        either = either + ((x | y) > 0).sum(-1, dtype=np.int32)
+    return (same - both / 15) / (1 - 1 / 15) / np.maximum(either, 1)
+
+
+def likely_rows(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of signatures ``b`` beside ``a`` (one or as many) the places that both estimates let pass, and the finer estimates there."""
+    n = BANDS * ROWS // 2
+    at = np.nonzero(coarse_estimates(a[..., :n], b[:, :n]) >= least - MARGIN)[0]
+    e = fine_estimates((a if a.ndim == 1 else a[at])[..., n:], b[at, n:])
+    near = e >= least - FINE_MARGIN
+    return at[near], e[near]
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, band keys and packed signature of each row."""
 
@@ -94,7 +130,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     found = shingles(text, memo, k)
                     if len(found):
                         m = minima(found)
-                        out.append((len(found), xxh3_128_digest(found.tobytes()), band_keys(m).view(np.int64), packed(m)))
+                        out.append((len(found), xxh3_128_digest(found.tobytes()), band_keys(m).view(np.int64), packed(m, found)))
                     else:
                         out.append((0, None, None, None))
                 n, digest, keys, sig = zip(*out, strict=True)
@@ -104,7 +140,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def likely(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
-    """Of pairs (a, b) those whose estimate is not below ``least``, with the estimate."""
+    """Of pairs (a, b) those whose estimates are near ``least`` or above, with the estimate."""
     one = signed.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
     two = signed.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
 
@@ -112,9 +148,8 @@ def likely(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-                e = estimates(a, b)
-                out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(e, pa.float64())], ["a", "b", "estimate"])
-                yield out.filter(pa.array(e >= least))
+                at, e = likely_rows(a, b, least)
+                yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(at)), batch.column("b").take(pa.array(at)), pa.array(e, pa.float64())], ["a", "b", "estimate"])
 
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, estimate double")
 
@@ -158,13 +193,13 @@ def crossing(sig, node, comp, own, one_block, least):
     begin = 0
     for end in ends[:-1]:
         for r in range(begin, end):
-            e = estimates(sig[r], sig[end:])
-            hit = e >= least
+            hit, e = likely_rows(sig[r], sig[end:], least)
             if not one_block:
-                hit &= own[end:] != own[r]
-            if hit.any():
+                other = own[end:][hit] != own[r]
+                hit, e = hit[other], e[other]
+            if len(hit):
                 s = node[end:][hit]
-                yield np.minimum(node[r], s), np.maximum(node[r], s), e[hit]
+                yield np.minimum(node[r], s), np.maximum(node[r], s), e
         begin = end
 
 
@@ -209,7 +244,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     first = known.join(classes, (known["digest"] == classes["digest"]) & (known["doc_id"] == classes["node"]), "left_semi")
     first = scratch.keep(first.select(F.col("doc_id").alias("node"), "sig", "keys").dropDuplicates(["node"]), "nodes")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).where("doc_id is not null")
-    least = percent / 100 - MARGIN
+    least = percent / 100
 
     keyed = first.select("node", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node")).alias("centre")).where("n > 1")
