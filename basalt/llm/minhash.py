@@ -12,9 +12,9 @@ empty bin), and passed over at 0.1 below the threshold or less, again five stand
 
 Candidates are not all pairs of a band's bucket. Each bucket's first member (one random order for all buckets, so a group
 of copies meets the same centre) is compared with the others, and links are contracted to components. Only buckets
-that still hold several components go on: their members are compared by signatures in blocks of bounded size, and
-pairs across components are confirmed, the likeliest of any two components first, until none is left. So no pair that
-could join two components goes untested, and a group of n copies that all resemble one takes n comparisons.
+that still hold several components go on: their members are compared by signatures in blocks of bounded size, first for
+a spanning forest of the likeliest pairs, fewer than the members, which joins most of a group; then all likely pairs across what is still
+apart are confirmed, the likeliest of any two components first, until none is left. So no pair that could join two components goes untested, and a group of n copies that all resemble one takes n comparisons.
 
 Results: null texts and texts without words have an empty set and link with nothing; rows with a null id have no component
 and are kept; repeated rows and rows of one id are one document; other columns do not matter; an empty table gives
@@ -203,8 +203,30 @@ def crossing(sig, node, comp, own, one_block, least):
         begin = end
 
 
-def across(members: DataFrame, least: float) -> DataFrame:
-    """Likely pairs of different components within buckets; a worker holds one pair of blocks at a time."""
+def forest(a, b, e, node, comp):
+    """The places of the pairs of a spanning forest of components, likeliest pairs first: fewer than there are components."""
+    of = dict(zip(node.tolist(), comp.tolist(), strict=True))
+    root = {c: c for c in of.values()}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out, missing = [], len(root) - 1
+    for at in np.lexsort((b, a, -e)).tolist():
+        x, y = find(of[int(a[at])]), find(of[int(b[at])])
+        if x != y:
+            root[x] = y
+            out.append(at)
+            if len(out) == missing:
+                break
+    return out
+
+
+def across(members: DataFrame, least: float, spanning: bool) -> DataFrame:
+    """Likely pairs of different components within buckets, or a spanning forest of them; a worker holds one pair of blocks at a time."""
 
     def run(batches):
         def pairs(group):
@@ -213,6 +235,9 @@ def across(members: DataFrame, least: float) -> DataFrame:
             found = list(crossing(sig, node, comp, own, i[0] == j[0], least))
             if found:
                 a, b, e = (np.concatenate(x) for x in zip(*found, strict=True))
+                if spanning:
+                    at = forest(a, b, e, node, comp)
+                    a, b, e = a[at], b[at], e[at]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(e)], ["a", "b", "estimate"])
 
         group, last = [], None
@@ -253,24 +278,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = scratch.keep(confirmed(scratch.keep(likely(stars, first, least), "likely"), texts, k, percent), "links0")
     found = components(links, scratch, "found0")
 
-    # buckets that still hold several components
-    named = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    members = named.join(mixed, "key").join(first.select("node", "sig"), "node").select("key", "node", "comp", "sig")
-    tested = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    waiting = across(members, least).groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    def members(found):
+        """Of buckets that still hold several components."""
+        named = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+        mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+        return named.join(mixed, "key").join(first.select("node", "sig"), "node").select("key", "node", "comp", "sig")
+
+    def contracted(found, pairs, more, name):
+        between = pairs.join(more, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        return joined(found, between, scratch, name)
+
+    def by_component(pairs, found):
+        in_a, in_b = found.select(F.col("node").alias("a"), F.col("component").alias("ca")), found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        return pairs.join(in_a, "a", "left").join(in_b, "b", "left").select("a", "b", "estimate", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    spans = across(members(found), least, True).groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    spans = scratch.keep(by_component(spans.join(tested, ["a", "b"], "left_anti"), found), "spans")
+    found = contracted(found, spans, scratch.keep(confirmed(spans, texts, k, percent), "links-spans"), "found-spans")
+    tested = tested.unionByName(spans.select("a", "b"))
+    waiting = across(members(found), least, False).groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
     waiting = scratch.keep(waiting.join(tested, ["a", "b"], "left_anti"), "waiting0")
     k_round, at_once = 0, AT_ONCE
     while not waiting.isEmpty():
         k_round += 1
-        in_a, in_b = found.select(F.col("node").alias("a"), F.col("component").alias("ca")), found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        open_ = waiting.join(in_a, "a", "left").join(in_b, "b", "left").select("a", "b", "estimate", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+        open_ = by_component(waiting, found)
         order = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("estimate"), "a", "b")
         open_ = scratch.keep(open_.withColumn("place", F.row_number().over(order)), f"open{k_round}")
         more = scratch.keep(confirmed(open_.where(f"place <= {at_once}"), texts, k, percent), f"links{k_round}")
         if not more.isEmpty():
-            between = open_.join(more, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            found = joined(found, between, scratch, f"found{k_round}")
+            found = contracted(found, open_, more, f"found{k_round}")
         waiting = scratch.keep(open_.where(f"place > {at_once}").select("a", "b", "estimate"), f"waiting{k_round}")
         at_once *= 8
 
