@@ -2,11 +2,13 @@ import base64
 from collections import Counter as Count
 from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
-from basalt.llm import bpe, chat, embed_dedup, line_dedup, minhash, mixing, pii, quality, substring, token_count
+from basalt.llm import bpe, chat, components, embed_dedup, line_dedup, minhash, mixing, pii, quality, substring, token_count
+from basalt.llm.scratch import Scratch
 from basalt.llm.words import hashes_of, word_hashes
 
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
@@ -199,3 +201,31 @@ def test_surrogates(spark, docs, empty):
     assert all(len(r.entities) < 2 for r in pii.collisions(many).collect())
     out = pii.anonymise(docs).drop("__entities")
     assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()}[5] == TEXTS[5] and pii.anonymise(empty).count() == 0
+
+
+def test_components(spark, monkeypatch):
+    """A long chain, a star, a cycle and a lone link, with and without the last links in one task, and links added later."""
+    chain = [(i, i + 1) for i in range(100, 160)]
+    star = [(1000, i) for i in range(1001, 1040)]
+    links = chain[::-1] + star + [(7, 8), (8, 9), (9, 7), (7, 7), (50, 40)]
+    frame = spark.createDataFrame(links + links[:5], "a long, b long")
+    expected = {i: 100 for i in range(100, 161)} | {i: 1000 for i in range(1000, 1040)} | {7: 7, 8: 7, 9: 7, 50: 40, 40: 40}
+    for most in (0, 10, 1000):
+        monkeypatch.setattr(components, "TAIL", most)
+        scratch = Scratch(spark, "test")
+        found = components.components(frame, scratch)
+        assert {r.node: r.component for r in found.collect()} == expected
+        more = spark.createDataFrame([(100, 1000), (3, 7), (200, 300)], "a long, b long")
+        now = {r.node: r.component for r in components.joined(found, more, scratch, "more").collect()}
+        assert now == {n: {1000: 100, 7: 3}.get(c, c) for n, c in expected.items()} | {3: 3, 200: 200, 300: 200}
+        assert components.components(frame.where("a < 0"), Scratch(spark, "none")).collect() == []
+
+
+def test_fine_estimates_are_near():
+    rng = np.random.default_rng(1)
+    for n, share in ((40, 0.8), (400, 0.8), (20_000, 0.8), (20_000, 0.5), (3, 1.0)):
+        one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        two = np.unique(np.append(one[: int(n * share)], rng.integers(0, 1 << 63, n - int(n * share), dtype=np.uint64)))
+        real = len(np.intersect1d(one, two)) / len(np.union1d(one, two))
+        a, b = (np.frombuffer(minhash.nibbles(minhash.fine(x)), np.uint8) for x in (one, two))
+        assert abs(minhash.fine_estimates(a, b[None])[0] - real) < minhash.FINE_MARGIN
