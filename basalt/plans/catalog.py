@@ -11,10 +11,11 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from basalt.operators import geometry, matching, vectors
-from basalt.plans import shelf_sql
+from basalt.plans import audit_sql, choice_sql, label_sql, shelf_sql
 from basalt.sources import tables
 
 FLAGSHIP = "a9_share_of_shelf"
+TEXTS = shelf_sql.QUERIES | label_sql.QUERIES | choice_sql.QUERIES | audit_sql.QUERIES
 
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -26,9 +27,9 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def queries() -> dict:
-    out = {name: (lambda spark, d, s=spark_text: run_sql(spark, d, s)) for name, (spark_text, _) in shelf_sql.QUERIES.items()}
+    out = {name: (lambda spark, d, s=spark_text: run_sql(spark, d, s)) for name, (spark_text, _) in TEXTS.items()}
     return out | geometry.QUERIES | matching.QUERIES | vectors.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle or spark_text for name, (spark_text, oracle) in shelf_sql.QUERIES.items()} | vectors.ORACLES
+    return {name: oracle or spark_text for name, (spark_text, oracle) in TEXTS.items()} | vectors.ORACLES

@@ -7,6 +7,14 @@ one higher where key + slot is divisible by 5, or none where it is divisible by
 
 from __future__ import annotations
 
+import re
+
+
+def portable(text: str) -> str:
+    """DuckDB reads 1.0 as a decimal, and has no D suffix."""
+    return re.sub(r"\b(\d+\.\d+)D\b", r"CAST(\1 AS DOUBLE)", text)
+
+
 _FACING = """
 facing AS (SELECT l_orderkey AS image, l_linenumber AS slot, l_partkey AS sku, l_quantity AS occ, CAST(l_extendedprice AS DOUBLE) AS area, l_shipdate AS seen,
   CASE WHEN (l_partkey + l_linenumber) % 11 = 0 THEN NULL WHEN (l_partkey + l_linenumber) % 5 = 0 THEN l_partkey + 1 ELSE l_partkey END AS pred FROM lineitem),
@@ -157,7 +165,4 @@ SELECT one, two, round(dot / (x.norm * y.norm), 6) AS cos FROM d JOIN s x ON one
     "q13_outlet_leakage": ("SELECT o_custkey FROM orders WHERE o_orderkey % 10 < 8 INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 9", None),
     "q16_gate_rollup": ("SELECT 'q3' AS gate, count(*) AS violations, count(*) = 0 AS pass FROM (SELECT p_partkey FROM part GROUP BY p_partkey HAVING count(*) > 1) a UNION ALL SELECT 'q1' AS gate, count(*) AS violations, count(*) = 0 AS pass FROM (SELECT l_orderkey FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE p_partkey IS NULL) b", None),
 }
-#: DuckDB reads 1.0 as a decimal, and has no D suffix.
-import re as _re  # noqa: E402
-
-QUERIES = {k: (s, d if d is not None else _re.sub(r"\b(\d+\.\d+)D\b", r"CAST(\1 AS DOUBLE)", s)) for k, (s, d) in QUERIES.items()}
+QUERIES = {k: (s, d if d is not None else portable(s)) for k, (s, d) in QUERIES.items()}
