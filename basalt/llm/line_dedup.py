@@ -68,7 +68,8 @@ def cleaned(docs: DataFrame, **how) -> DataFrame:
     """All columns of docs, their text without recurring lines, and __lines and __gone, the numbers of lines."""
     scratch = Scratch(docs.sparkSession, "lines")
     gone = dropped(docs, scratch, **how).groupBy("doc_id").agg(F.collect_set("sequence").alias("__drop")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(scratch.keep(gone, "gone"), docs["doc_id"].cast("long") == F.col("__id"), "left")
+    # one plan at every size: the dropped lines grow with the documents, so they are never broadcast
+    joined = docs.join(scratch.keep(gone, "gone").hint("merge"), docs["doc_id"].cast("long") == F.col("__id"), "left")
     parts = F.split(docs["text"], "\n", -1)
     stay = F.filter(parts, lambda x: ~F.array_contains("__drop", F.xxhash64(masked(x))) | (masked(x) == ""))
     stay = F.when(F.col("__drop").isNull(), parts).otherwise(stay)
