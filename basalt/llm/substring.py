@@ -120,7 +120,7 @@ def passes(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, bits, width: int, gram: int) -> DataFrame:
-    """doc, salt and start of every window whose sequence starts earlier in docs."""
+    """doc, salt and runs of the windows whose sequence starts earlier in docs: a run is its first start times 2^32 plus its number of windows."""
 
     def emit(batches):
         memo, found = word_hashes(), bits.value
@@ -162,13 +162,13 @@ def repeats(docs: DataFrame, bits, width: int, gram: int) -> DataFrame:
             ["fingerprint", "doc", "salt", "start", "n", "hashes"],
         )
 
-    def grouped(doc, salt, start):
-        """A row for each document, with its starts."""
+    def joined(doc, salt, start):
+        """A row for each run of neighbouring starts, whatever else of a document comes to this task."""
         order = np.lexsort((start, salt, doc))
         doc, salt, start = doc[order], salt[order], start[order]
-        cut = np.nonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (salt[1:] != salt[:-1])]))[0]
-        starts = pa.ListArray.from_arrays(pa.array(np.append(cut, len(doc)).astype(np.int32)), pa.array(start))
-        return pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(salt[cut]), starts], ["doc", "salt", "starts"])
+        cut = np.nonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (salt[1:] != salt[:-1]) | (start[1:] != start[:-1] + 1)]))[0]
+        run = (start[cut].astype(np.int64) << 32) | np.diff(np.append(cut, len(doc)))
+        return pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(salt[cut]), pa.array(run)], ["doc", "salt", "run"])
 
     def later(batches):
         """Rows come by key, document and start; what does not come first of its key is repeated."""
@@ -194,35 +194,35 @@ def repeats(docs: DataFrame, bits, width: int, gram: int) -> DataFrame:
             held.append((doc[repeated], salt[repeated], start[repeated]))
             n += len(held[-1][0])
             if n > 1_000_000:
-                yield grouped(*map(np.concatenate, zip(*held, strict=True)))
+                yield joined(*map(np.concatenate, zip(*held, strict=True)))
                 held, n = [], 0
         if n:
-            yield grouped(*map(np.concatenate, zip(*held, strict=True)))
+            yield joined(*map(np.concatenate, zip(*held, strict=True)))
 
     rows = docs.mapInArrow(emit, "fingerprint long, doc long, salt int, start int, n int, hashes array<long>")
     # the hashes of a fingerprint meet in one task, are spread out and sorted there
     dealt = rows.repartition("fingerprint").select("doc", "salt", F.col("start").alias("from"), "n", F.posexplode_outer("hashes").alias("i", "key"))
     told = dealt.select("key", "doc", "salt", (F.col("from") + F.coalesce("i", F.lit(0))).alias("start"), "n").sortWithinPartitions("key", "doc", "salt", "start")
-    return told.mapInArrow(later, "doc long, salt int, starts array<int>").groupBy("doc", "salt").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return told.mapInArrow(later, "doc long, salt int, run long").groupBy("doc", "salt").agg(F.collect_list("run").alias("runs"))
 
 
-def covered(n_words: int, starts: list[int] | None, width: int) -> np.ndarray:
+def covered(n_words: int, runs: list[int] | None, width: int) -> np.ndarray:
     gone = np.zeros(n_words + 1, np.int64)
-    if starts is not None and len(starts):
-        s = np.unique(np.asarray(starts, np.int64))
-        np.add.at(gone, s, 1)
-        np.add.at(gone, np.minimum(s + width, n_words), -1)
+    if runs is not None and len(runs):
+        r = np.asarray(runs, np.int64)
+        np.add.at(gone, r >> 32, 1)
+        np.add.at(gone, np.minimum((r >> 32) + (r & 0xFFFFFFFF) - 1 + width, n_words), -1)
     return np.cumsum(gone)[:n_words] > 0
 
 
-def kept_words(text: str, starts: list[int] | None, width: int) -> tuple[list[bytes], int]:
+def kept_words(text: str, runs: list[int] | None, width: int) -> tuple[list[bytes], int]:
     words = text.encode().split()
-    gone = covered(len(words), starts, width)
+    gone = covered(len(words), runs, width)
     return [w for w, g in zip(words, gone, strict=True) if not g], int(gone.sum())
 
 
 def dedup_batch(batch: DataFrame, history: DataFrame | None, index: Index, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """The batch's rows (doc, salt, doc_id, text) with the starts of repeated windows; its run joins the index.
+    """The batch's rows (doc, salt, doc_id, text) with the runs of repeated windows; its run joins the index.
 
     Both tables as ``prepared`` gives them; every document of the history comes before the batch.
     """
@@ -236,7 +236,7 @@ def dedup_batch(batch: DataFrame, history: DataFrame | None, index: Index, width
 
 
 def dedup(docs: DataFrame, batches: int = 2, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """doc, salt, doc_id, text and starts of all rows, taken in batches of rising ids."""
+    """doc, salt, doc_id, text and runs of all rows, taken in batches of rising ids."""
     scratch = Scratch(docs.sparkSession, "substring")
     index, rows = Index(scratch), prepared(docs)
     cuts = [] if batches < 2 else rows.agg(F.percentile_approx("doc", [k / batches for k in range(1, batches)], 1000).alias("q")).first().q or []
@@ -258,13 +258,13 @@ def digests(rows: DataFrame, width: int = WIDTH) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = []
-                for text, starts in zip(part.column("text").to_pylist(), part.column("starts").to_pylist(), strict=True):
-                    words, gone = kept_words(text, starts, width)
+                for text, runs in zip(part.column("text").to_pylist(), part.column("runs").to_pylist(), strict=True):
+                    words, gone = kept_words(text, runs, width)
                     out.append((len(words) + gone, gone, sha256(b" ".join(words)).hexdigest()))
                 n, gone, digest = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return rows.select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
