@@ -1,14 +1,12 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by every pair of a label.
 
-Vectors of one label and length are compared. Each pass draws random directions; the signs of the projections, one after
-another, are a vector's key, and vectors are put in the order of label and key. Neighbours up to ``window`` places apart
-are compared by cosine in double precision, in blocks of the global order that overlap by a window, so nothing is lost
-at a partition's end. A pair at cosine 0.98 agrees in a sign with 0.936, so passes with long common keys are
-likely; 12 of them find, among 5,000 vectors of a label, a pair with over 0.999, and ``passes`` should grow with the
-logarithm of a label's vectors. Verified pairs are united across passes.
+Vectors of one label and length are compared, each with each, by cosine in double precision: no pair is left to a hash or a
+window, so the links are those of brute force whatever a label holds. A label's vectors are dealt by a hash of their ids
+to blocks, a task compares two blocks and returns at most one row a vector: its links and a vector it is united with.
+Rows of pairs never arise, also in large groups of copies.
 
-The window bounds what a pass compares. The exact way for the rest: within a component every pair is compared, in pairs
-of blocks of bounded size, and only counts of links leave a block, so large groups of copies cost no rows of pairs.
+The comparisons grow with the square of a label's vectors, the rows dealt with the vectors times the label's blocks (four up
+to 65,536 vectors, then one for each 16,384).
 
 Results: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label or id, link with
 nothing and stay (component: their own id; kept); equal vectors are one class whose members all link; repeated rows
@@ -26,9 +24,10 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import Scratch
 
-BITS = 60
-#: Rows of a block of the sorted order, and of a component.
-BLOCK = 1024
+#: A label's blocks: one for each SMALL vectors, not more than FEW of them while a block holds LARGE vectors at most.
+SMALL, FEW, LARGE = 1024, 4, 16384
+#: Vectors of a side compared at once.
+CHUNK = 1024
 
 
 def unit(v: list | None) -> np.ndarray | None:
@@ -42,139 +41,98 @@ def unit(v: list | None) -> np.ndarray | None:
     return a / np.linalg.norm(a)
 
 
-def directions(size: int, n: int) -> np.ndarray:
-    return np.random.default_rng([size, 7]).standard_normal((size, n * BITS))
-
-
-def keys_of(vectors: np.ndarray, passes: int, drawn: np.ndarray) -> np.ndarray:
-    """passes keys of each vector: signs as bits, the first the highest."""
-    bits = (vectors @ drawn > 0).reshape(len(vectors), passes, BITS)
-    return bits @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-
-
-def prepared(rows: DataFrame, passes: int) -> DataFrame:
-    """vec_id, label, digest of the vector, the unit vector and its keys; the last three null if it links with nothing."""
+def prepared(rows: DataFrame) -> DataFrame:
+    """vec_id, label, digest of the vector and the unit vector; the last two null if it links with nothing."""
 
     def run(batches):
         from xxhash import xxh3_128_digest
 
-        drawn = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 ids, labels = part.column("vec_id").to_pylist(), part.column("label").to_pylist()
                 found = [None if i is None or x is None else unit(v) for i, x, v in zip(ids, labels, part.column("embedding").to_pylist(), strict=True)]
-                keys: list = [None] * len(found)
-                for size in {len(u) for u in found if u is not None}:
-                    where = [i for i, u in enumerate(found) if u is not None and len(u) == size]
-                    if size not in drawn:
-                        drawn[size] = directions(size, passes)
-                    for i, k in zip(where, keys_of(np.stack([found[i] for i in where]), passes, drawn[size]), strict=True):
-                        keys[i] = k.tolist()
                 digests = [None if u is None else xxh3_128_digest(u.tobytes()) for u in found]
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("label"), pa.array(digests, pa.binary()), pa.array([None if u is None else u.tobytes() for u in found], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["vec_id", "label", "digest", "unit", "keys"])
-
-    return rows.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").mapInArrow(run, "vec_id long, label long, digest binary, unit binary, keys array<long>")
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("label"), pa.array(digests, pa.binary()), pa.array([None if u is None else u.tobytes() for u in found], pa.binary())], ["vec_id", "label", "digest", "unit"])
 
-
-def ordered(keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """keyed (pass, label, size, key, node) with its place in the global order. The driver gets one count a partition."""
-
-    def number(batches):
-        from pyspark import TaskContext
-
-        part, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            places = pa.array(np.arange(n, n + batch.num_rows), pa.int64())
-            n += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), places], [*batch.schema.names, "part", "place"])
-
-    order = ["pass", "label", "size", "key", "node"]
-    fields = "pass int, label long, size int, key long, node long, part int, place long"
-    rows = scratch.keep(keyed.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, fields), "ordered")
-    counts = rows.groupBy("part").count().orderBy("part").collect()
-    start, starts = 0, []
-    for r in counts:
-        starts.append((r.part, start))
-        start += r["count"]
-    offsets = scratch.spark.createDataFrame(starts, "part int, start long") if starts else scratch.spark.createDataFrame([], "part int, start long")
-    return rows.join(F.broadcast(offsets), "part").select(*order, (F.col("start") + F.col("place")).alias("place"))  # as many rows as partitions
+    return rows.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").mapInArrow(run, "vec_id long, label long, digest binary, unit binary")
 
 
 def near(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return a @ b.T >= least
 
 
-def united(linked: np.ndarray) -> np.ndarray:
-    """The smallest index that each row reaches by a symmetric matrix of links."""
-    own = np.arange(len(linked))
+def unite(root: np.ndarray, rows: np.ndarray, columns: np.ndarray, linked: np.ndarray) -> None:
+    """Unites in root (each place's smallest known place) the places rows and columns that are linked."""
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
     while True:
-        low = np.minimum(own, np.where(linked, own[None, :], len(own)).min(axis=1, initial=len(own)))
-        low = np.minimum(low, low[low])
-        if (low == own).all():
-            return own
-        own = low
+        apart = linked & (root[rows][:, None] != root[columns][None, :])
+        some = np.flatnonzero(apart.any(axis=1))
+        if not len(some):
+            return
+        for r, c in zip(rows[some].tolist(), columns[apart[some].argmax(axis=1)].tolist(), strict=True):
+            x, y = find(r), find(c)
+            root[max(x, y)] = min(x, y)
+        while (root[root] != root).any():
+            root[:] = root[root]
 
 
 def stack(rows: pd.DataFrame, column: str = "unit") -> np.ndarray:
     return np.frombuffer(b"".join(rows[column]), np.float64).reshape(len(rows), -1)
 
 
-def neighbours(rows: DataFrame, vectors: DataFrame, window: int, least: float) -> DataFrame:
-    """Links (a, b) that unite all vectors linked within windows; at most one a row and pass."""
-    block = F.floor(F.col("place") / BLOCK)
-    tail = F.col("place") % BLOCK >= BLOCK - window
-    dealt = rows.select("*", F.explode(F.when(tail, F.array(block, block + 1)).otherwise(F.array(block))).alias("block")).join(vectors, "node")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("place")
-        out = []
-        for _, same in part.groupby(["pass", "label", "size"]):
-            if len(same) > 1:
-                v, place, node = stack(same), same.place.to_numpy(), same.node.to_numpy()
-                linked = near(v, v, least) & (np.abs(place[:, None] - place[None, :]) <= window)
-                to = united(linked)
-                out += [(node[i], node[t]) for i, t in enumerate(to) if i != t]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return dealt.groupBy("block").applyInPandas(run, "a long, b long")
-
-
-def link_counts(members: DataFrame, least: float) -> DataFrame:
-    """node and the linked vectors of other classes, for members (comp, node, n, unit) of components."""
-    size = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(size, "comp").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+def compared(rows: pd.DataFrame, least: float) -> pd.DataFrame:
+    """node, linked and to of the linked rows (own, i, j, node, n, unit) of two blocks: vectors linked with it, and one it is united with."""
+    i, j = rows.i.iloc[0], rows.j.iloc[0]
+    own, node, n, v = rows.own.to_numpy(), rows.node.to_numpy(), rows.n.to_numpy(), stack(rows)
+    one, two = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    linked, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
+    for at in range(0, len(one), CHUNK):
+        a = one[at : at + CHUNK]
+        for to in range(at if i == j else 0, len(two), CHUNK):
+            b = two[to : to + CHUNK]
+            links = near(v[a], v[b], least)
+            if i == j and at == to:
+                np.fill_diagonal(links, False)
+            if not links.any():
+                continue
+            linked[a] += links @ n[b]
+            if i != j or at != to:
+                linked[b] += links.T @ n[a]
+            unite(root, a, b, links)
+    some = linked > 0
+    return pd.DataFrame({"node": node[some], "linked": linked[some], "to": node[root[some]]})
+
+
+def pairs_compared(classes: DataFrame, least: float) -> DataFrame:
+    """node, linked and to over all pairs of blocks of each label and length; several rows a node."""
+    rows = classes.select("label", F.octet_length("unit").alias("size"), "node", "n", "unit")
+    count = F.count(F.lit(1))
+    blocks = F.greatest(F.least(F.lit(FEW), F.ceil(count / SMALL)), F.ceil(count / LARGE)).cast("int")
+    sizes = rows.groupBy("label", "size").agg(count.alias("vectors"), blocks.alias("blocks")).where("vectors > 1").drop("vectors")
+    dealt = rows.join(sizes, ["label", "size"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = rows.i.iloc[0], rows.j.iloc[0]
-        one, two = rows[rows.own == i], rows[rows.own == j]
-        if not len(one) or not len(two):
-            return pd.DataFrame({"node": [], "linked": []})
-        linked = near(stack(one), stack(two), least)
-        if i == j:
-            np.fill_diagonal(linked, False)
-            return pd.DataFrame({"node": one.node, "linked": linked @ two.n.to_numpy()})
-        return pd.concat([pd.DataFrame({"node": one.node, "linked": linked @ two.n.to_numpy()}), pd.DataFrame({"node": two.node, "linked": linked.T @ one.n.to_numpy()})])
-
-    return dealt.groupBy("comp", "i", "j").applyInPandas(run, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+    return dealt.groupBy("label", "size", "i", "j").applyInPandas(lambda part: compared(part, least), "node long, linked long, to long")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, passes: int = 12, window: int = 48) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of vectors (vec_id, embedding, label)."""
     scratch = Scratch(vectors.sparkSession, "vectors")
-    rows = scratch.keep(prepared(vectors, passes), "prepared")
+    rows = scratch.keep(prepared(vectors), "prepared")
     usable = rows.where("unit is not null")
-    classes = usable.groupBy("label", "digest").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit"), F.first("keys").alias("keys"))
+    classes = usable.groupBy("label", "digest").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit"))
     classes = scratch.keep(classes, "classes")
-    units = classes.select("node", "unit")
-    keyed = classes.select("node", "label", F.octet_length("unit").alias("size"), F.posexplode("keys").alias("pass", "key"))
-    links = scratch.keep(neighbours(ordered(keyed, scratch), units, window, least), "links")
-    found = components(links, scratch)
-    members = classes.join(found, "node").select(F.col("component").alias("comp"), "node", "n", "unit")
-    counted = link_counts(members, least)
-    named = classes.join(found, "node", "left").join(counted, "node", "left")
+    pairs = scratch.keep(pairs_compared(classes, least), "pairs")
+    found = components(pairs.select(F.col("node").alias("a"), F.col("to").alias("b")), scratch)
+    counted = pairs.groupBy("node").agg(F.sum("linked").alias("linked"))
+    named = classes.select("label", "digest", "node", "n").join(found, "node", "left").join(counted, "node", "left")
     named = named.select("label", "digest", F.coalesce("component", "node").alias("component"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
     out = rows.select("vec_id", "label", "digest").join(named, ["label", "digest"], "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))

@@ -130,6 +130,31 @@ def test_vectors(spark):
     assert embed_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_dense_label_equals_brute_force(spark):
+    """One label of 6,000 vectors at mutual cosine 0.9 and 600 pairs at 0.9801, which sorted projections found in part."""
+    draw = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(draw.standard_normal(64))
+    across = lambda x: unit(x - (x @ centre)[:, None] * centre)  # noqa: E731  directions at right angles to the centre
+    v = np.sqrt(0.9) * centre + np.sqrt(0.1) * across(draw.standard_normal((5400, 64)))
+    step = draw.standard_normal((600, 64))
+    step = unit(step - (step * v[:600]).sum(axis=1)[:, None] * v[:600])
+    v = np.concatenate([v, 0.9801 * v[:600] + np.sqrt(1 - 0.9801**2) * step])
+    linked = v @ v.T >= 0.98
+    np.fill_diagonal(linked, False)
+    assert linked[np.arange(600), np.arange(5400, 6000)].all()
+    frame = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(frame).collect()}
+    assert [got[i].n_links for i in range(6000)] == linked.sum(axis=1).tolist()
+    own = np.arange(6000)
+    for _ in range(6000):
+        low = np.minimum(own, np.where(linked, own[None, :], 6000).min(axis=1))
+        if (low == own).all():
+            break
+        own = low
+    assert [got[i].component_id for i in range(6000)] == own.tolist()
+
+
 def test_mix_meets_targets(spark, docs, empty):
     frame = spark.createDataFrame([(i, "w " * (1 + i * 7919 % 97), "abcd"[min(3, i % 7)]) for i in range(3000)], "doc_id long, text string, source string")
     rows = mixing.mix(frame).collect()
