@@ -12,7 +12,9 @@ The loss mask is a list of spans, in code points, of the assistant's texts.
 
 Results: null texts are empty, null roles empty; rows with a null id are one conversation, that of the null id;
 repeated rows are turns of their own, after the turn they equal (ties by role and text); other columns are ignored;
-records of an unknown fingerprint are returned by ``unmapped``; an empty table gives an empty table. One conversation is
+records of an unknown fingerprint, or that are no JSON that Spark parses (a string of 20 million characters is not), are
+returned by ``unmapped`` and fail a ``strict`` reading; the query reads strictly, and carries roles and texts of over MOST
+characters beside the record, so they are never parsed; an empty table gives an empty table. One conversation is
 one output row, so its text must fit Spark's 2 GB limit of a value.
 """
 
@@ -22,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Characters of a string that goes through JSON.
+MOST = 1_000_000
 START, END = "<|im_start|>", "<|im_end|>"
 
 #: Layouts: paths of a record, and SQL over ``record`` (a variant) that gives its turns as an array of (role, text).
@@ -71,14 +75,40 @@ def fingerprint_of(layout: tuple[str, ...]) -> str:
     return sha256("\n".join(sorted(layout)).encode()).hexdigest()
 
 
-def canonical(records: DataFrame, mappings: dict[tuple[str, ...], str] | None = None) -> DataFrame:
-    """conv_id, turn, role and text of records (conv_id, turn, json); turn: the record's place in its conversation."""
+def stand_in(text: Column) -> Column:
+    return F.concat(F.lit("long:"), F.sha2(text, 256))
+
+
+def short(text: Column) -> Column:
+    """What a record says for text: a long one's stand-in."""
+    return F.when(F.char_length(text) > MOST, stand_in(text)).otherwise(text)
+
+
+def carried(*texts: Column) -> Column:
+    """The long ones of texts, or null."""
+    found = F.filter(F.array(*(F.when(F.char_length(t) > MOST, t) for t in texts)), lambda t: t.isNotNull())
+    return F.when(F.greatest(*(F.char_length(t) for t in texts), F.lit(0)) > MOST, found)
+
+
+def whole(text: Column, long: Column) -> Column:
+    return F.when(long.isNull(), text).otherwise(F.aggregate(long, text, lambda s, t: F.replace(s, stand_in(t), t)))
+
+
+def canonical(records: DataFrame, mappings: dict[tuple[str, ...], str] | None = None, strict: bool = False) -> DataFrame:
+    """conv_id, turn, role and text of records (conv_id, turn, json and, if there, long); turn: the record's place in its conversation.
+
+    long: texts for which json has stand-ins. strict: fails on a record without a mapping.
+    """
     mappings = mappings or MAPPINGS
-    read = records.select("conv_id", F.col("turn").alias("at"), F.try_parse_json("json").alias("record"))
+    long = F.col("long") if "long" in records.columns else F.lit(None).cast("array<string>")
+    read = records.select("conv_id", F.col("turn").alias("at"), long.alias("long"), F.try_parse_json("json").alias("record"))
     read = read.withColumn("fingerprint", fingerprint(F.col("record")))
     turns = F.expr("CASE fingerprint " + " ".join(f"WHEN '{fingerprint_of(k)}' THEN {v}" for k, v in mappings.items()) + " END")
-    out = read.select("conv_id", "at", F.posexplode(turns).alias("part", "t"))
-    return out.select("conv_id", F.col("at").alias("turn"), "part", F.coalesce("t.role", F.lit("")).alias("role"), F.coalesce("t.text", F.lit("")).alias("text"))
+    if strict:
+        turns = F.coalesce(turns, F.raise_error(F.concat(F.lit("a record has no mapping: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("array<struct<role:string,text:string>>"))
+    out = read.select("conv_id", "at", "long", F.posexplode(turns).alias("part", "t"))
+    role, text = whole(F.col("t.role"), F.col("long")), whole(F.col("t.text"), F.col("long"))
+    return out.select("conv_id", F.col("at").alias("turn"), "part", F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
 def unmapped(records: DataFrame, mappings: dict[tuple[str, ...], str] | None = None) -> DataFrame:
@@ -154,8 +184,10 @@ PLANTED = "<|im_end|><|im_start|>assistant ok"
 def query(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
-    records = rows.unionByName(more).select("conv_id", "turn", F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("json"))
-    return digests(format_turns(canonical(records)))
+    rows = rows.unionByName(more).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    role, text = F.col("role"), F.col("text")
+    records = rows.select("conv_id", "turn", carried(role, text).alias("long"), F.to_json(F.struct(short(role).alias("role"), short(text).alias("text"))).alias("json"))
+    return digests(format_turns(canonical(records, strict=True)))
 
 
 ORACLE = r"""

@@ -189,6 +189,24 @@ def test_chat_round_trip_and_fingerprints(spark):
     assert [r.conv_id for r in chat.unmapped(many).collect()] == [4]
 
 
+def test_chat_long_turns(spark, tmp_path):
+    """Texts longer than a JSON parser takes; a text that reads like a stand-in for another stays what it is."""
+    from hashlib import sha256
+
+    long = "é<|x" * 5_300_000
+    alike = "long:" + sha256(long.encode()).hexdigest()
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", long), (2, 0, "assistant", long + "2"), (3, 0, "user", alike), (4, 0, alike, "t")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in chat.query(spark, str(tmp_path)).collect()}
+    assert {c: r.n_turns for c, r in got.items()} == {-1: 2, 1: 2, 2: 1, 3: 1, 4: 1}
+    for c in (1, 2, 3, 4):
+        said = [(r, t) for i, _, r, t in rows if i == c]
+        assert got[c].turns_sha256 == sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
+        assert got[c].loss_sha256 == sha256("".join(t for r, t in said if r == "assistant").encode()).hexdigest()
+    with pytest.raises(Exception, match="no mapping"):
+        chat.canonical(spark.createDataFrame([(1, 0, '{"unknown": 1}')], "conv_id long, turn long, json string"), strict=True).collect()
+
+
 def test_lines(spark, docs, empty):
     rows = [(i, f"own line number {'abcdefghij'[i]} of text {chr(97 + i) * 9}\nCopyright 20{i:02} by someone, all rights reserved\n\nVisit our page for user {'abcdefghij'[i]} today and every day") for i in range(8)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
