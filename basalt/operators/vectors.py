@@ -45,11 +45,62 @@ def cohesion(items: DataFrame) -> DataFrame:
     return near.groupBy("vec_id").agg(own.alias("own"), rival.alias("rival")).withColumn("suspect", F.col("own") < F.col("rival"))
 
 
+#: Vectors of a population compared with those of another at once.
+SIDE = 4096
+
+
+def compare_populations(items: DataFrame) -> DataFrame:
+    """V9: for each two labels the cosine of their unit vectors' centroids, the vectors of both, the largest cosine of a pair, and shared ids and vectors.
+
+    All components and all pairs count; a task compares two blocks of SIDE vectors and returns one row. Rows with a null label,
+    null or empty vector or null component are in no population; a zero vector stays zero.
+    """
+    items = items.select("vec_id", "label", "embedding").where("label is not null and size(embedding) > 0 and forall(embedding, x -> x is not null)").withColumn("length", norm("embedding"))
+    unit = F.transform("embedding", lambda x: F.when(F.col("length") > 0, x.cast("double") / F.col("length")).otherwise(0.0))
+    units = items.select("vec_id", "label", unit.alias("unit"))
+    centres = centroids(units, vector="unit").join(units.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label")
+    a, b = (centres.select(F.col("label").alias(x), F.col("centroid").alias(f"c_{x}"), F.col("n").alias(f"n_{x}")) for x in ("one", "two"))
+    out = a.join(b, F.col("one") < F.col("two")).select("one", "two", F.round(cosine("c_one", "c_two"), 6).alias("cos"), (F.col("n_one") + F.col("n_two")).alias("n"))
+
+    blocks = units.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("blocks"))
+    dealt = units.join(blocks, "label").select("label", "unit", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("own"))
+    each = blocks.select("label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    a, b = (each.select(F.col("label").alias(x), F.col("own").alias(y)) for x, y in (("one", "i"), ("two", "j")))
+    grid = a.join(b, F.col("one") < F.col("two"))
+    first = dealt.withColumnsRenamed({"label": "one", "own": "i"}).join(grid, ["one", "i"]).select("one", "i", "two", "j", F.lit(True).alias("first"), "unit")
+    second = dealt.withColumnsRenamed({"label": "two", "own": "j"}).join(grid, ["two", "j"]).select("one", "i", "two", "j", F.lit(False).alias("first"), "unit")
+
+    def largest(rows):
+        import numpy as np
+        import pandas as pd
+
+        x, y = (rows.loc[rows["first"] == k, "unit"] for k in (True, False))
+        if not len(x) or not len(y):
+            return pd.DataFrame({"one": [], "two": [], "most": []})
+        x, y = np.stack(x.to_list()), np.stack(y.to_list())
+        most = max(float((x[at : at + 512] @ y.T).max()) for at in range(0, len(x), 512))
+        return pd.DataFrame({"one": [rows.one.iloc[0]], "two": [rows.two.iloc[0]], "most": [most]})
+
+    kind = items.schema["label"].dataType.simpleString()
+    most = first.unionByName(second).groupBy("one", "i", "two", "j").applyInPandas(largest, f"one {kind}, two {kind}, most double")
+    most = most.groupBy("one", "two").agg(F.round(F.max("most"), 6).alias("max_cos"))
+
+    def shared(what: Column, name: str) -> DataFrame:
+        held = items.select("label", what.alias("what")).where("what is not null").distinct()
+        a, b = (held.select("what", F.col("label").alias(x)) for x in ("one", "two"))
+        return a.join(b, "what").where("one < two").groupBy("one", "two").agg(F.count(F.lit(1)).alias(name))
+
+    vectors = F.md5(F.array_join(F.col("embedding").cast("array<string>"), ","))
+    for found in (most, shared(F.col("vec_id"), "shared_ids"), shared(vectors, "shared_vectors")):
+        out = out.join(found, ["one", "two"], "left")
+    return out.fillna(0, ["shared_ids", "shared_vectors"])
+
+
 def _top(spark, d):
     return top_classes(tables.load(spark, d, "embeddings"))
 
 
-QUERIES = {"v7_prototype_top2": _top, "v8_cohesion_audit": lambda spark, d: cohesion(tables.load(spark, d, "embeddings"))}
+QUERIES = {"v7_prototype_top2": _top, "v8_cohesion_audit": lambda spark, d: cohesion(tables.load(spark, d, "embeddings")), "v9_population_compare": lambda spark, d: compare_populations(tables.load(spark, d, "embeddings"))}
 
 _CENTRES = """
 cells AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) r(i) GROUP BY label, i),

@@ -50,3 +50,29 @@ def test_queries_equal_their_sql(spark):
         assert columns == sorted(theirs.columns), name
         key = lambda d: sorted(map(str, (tuple(float(v) if isinstance(v, (int, float)) else str(v) for v in r) for r in d[columns].itertuples(index=False))))  # noqa: B023, E731
         assert key(ours) == key(theirs), name
+
+
+def test_compare_populations(spark):
+    import numpy as np
+
+    from __spark_entry__ import queries
+    from basalt.operators import vectors
+
+    draw = np.random.default_rng(3)
+    v = draw.standard_normal((60, 64)) * draw.uniform(0.1, 9, (60, 1))
+    v[:, :3] = 1.0  # the first components say nothing
+    v[59] = v[0]
+    label = [i % 3 for i in range(60)]
+    rows = [(i, x.tolist(), k) for i, (x, k) in enumerate(zip(v, label, strict=True))] + [(3, v[4].tolist(), 2), (99, None, 1), (98, v[5].tolist(), None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {(r.one, r.two): r for r in vectors.compare_populations(frame).collect()}
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    sides = [[(i, np.array(x)) for i, x, k in rows if k == c and x] for c in range(3)]
+    assert set(got) == {(0, 1), (0, 2), (1, 2)}
+    for (a, b), r in got.items():
+        x, y = (unit(np.stack([w for _, w in sides[c]])) for c in (a, b))
+        assert abs(r.cos - unit(x.mean(axis=0)) @ unit(y.mean(axis=0))) < 1e-6 and abs(r.max_cos - (x @ y.T).max()) < 1e-6 and r.n == len(x) + len(y)
+        assert r.shared_ids == len({i for i, _ in sides[a]} & {i for i, _ in sides[b]})
+        assert r.shared_vectors == len({w.tobytes() for _, w in sides[a]} & {w.tobytes() for _, w in sides[b]})
+    assert sum(r.shared_vectors for r in got.values()) == 2 and vectors.compare_populations(frame.limit(0)).count() == 0
+    assert queries()["v9_population_compare"] is vectors.QUERIES["v9_population_compare"]
