@@ -217,6 +217,19 @@ def test_lines(spark, docs, empty):
     assert out.columns == docs.columns and out.count() == docs.count() and line_dedup.keep(empty).count() == 0
 
 
+def test_quality_with_few_labels(spark):
+    """A tenth of the good and bad documents is labelled; clean documents without a label are kept as often as those with one."""
+    draw = np.random.default_rng(2)
+    good = [(i, " ".join(f"plain{x}" for x in draw.integers(0, 400, 90))) for i in range(300)]
+    bad = [(1000 + i, " ".join(f"{'junk' if j < 40 else 'plain'}{x}" for j, x in enumerate(draw.integers(0, 400, 90)))) for i in range(300)]
+    frame = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good[::10]] + [(i, 0, 0) for i, _ in bad[::10]], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.keep(frame, labels).collect()}
+    assert sum(i in kept for i, _ in good[::10]) >= 28
+    assert sum(i in kept for i, _ in good if i % 10) >= 0.9 * 270
+    assert sum(i in kept for i, _ in bad) <= 0.1 * 300
+
+
 def test_quality(spark, docs, empty):
     good = [(i, " ".join(f"plain{(i * 31 + j * 7) % 400}" for j in range(80))) for i in range(40)]
     bad = [(100 + i, " ".join(f"junk{(i * 17 + j * 3) % 300}###" for j in range(80))) for i in range(20)]
