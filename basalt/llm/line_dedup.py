@@ -1,13 +1,16 @@
 r"""Line dedup by a log-template tree of fixed depth. DataFrame functions only.
 
 A line's tokens are its words with every run of digits as one 0. Its path in the tree is the number of tokens and the first
-``depth`` of them; lines of one path meet in a leaf. In a leaf with several token sequences a position is *fixed* where one
-token holds in at least ``agree`` of the leaf's lines (a sequence counts once a document), else a variable field. If at
-least ``agree`` of the positions are fixed, the leaf has a template, and lines that have all its fixed tokens are its
-instances. Any other line is its own template.
+``depth`` of them; lines of one path meet in a leaf. In a group of token sequences, first a whole leaf, a position beyond the path
+is *fixed* where one token holds in at least ``agree`` of the group's lines (a sequence counts once a document), else a variable
+field. If at least ``agree`` of the positions beyond the path are fixed, the group has a template, and lines that have all its
+fixed tokens are its instances. The group's other lines are split by their commonest token at a position where the group
+differs, and the same holds for each part, until no part could recur. Any other line is its own template.
 
 A template in at least ``least_docs`` documents recurs: its lines go from all documents but the one of the smallest id, so
-the corpus keeps one copy and texts in fewer documents stay whole for the near-duplicate operator.
+the corpus keeps one copy. A line of at least ``long`` tokens besides its runs of digits recurs from two documents on; a variable
+field shows only over ``least_docs``. Below ``least_docs`` documents a line stays in a document that shares nine tenths
+of its words, in equal lines, with the line's first document: such copies stay whole for the near-duplicate operator.
 Blank lines stay.
 
 Results: null texts have no lines and stay null; rows with a null id are left alone and count for no template; rows of
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-DEPTH, AGREE, LEAST_DOCS = 4, 0.8, 5
+DEPTH, AGREE, LEAST_DOCS, LONG = 4, 0.8, 5, 10
 
 
 def masked(line: Column) -> Column:
@@ -32,19 +35,69 @@ def masked(line: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, sequence (a line's tokens, hashed), leaf and tokens; each sequence once a document."""
+    """doc_id, sequence (a line's tokens, hashed), leaf, words (tokens less runs of digits) and line; each sequence once a document."""
     found = F.array_distinct(F.transform(F.split("text", "\n", -1), masked))
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(found).alias("line")).where("line <> ''")
     tokens = F.split("line", " ")
     leaf = F.xxhash64(F.size(tokens), F.array_join(F.slice(tokens, 1, DEPTH), " "))
-    return rows.select("doc_id", F.xxhash64("line").alias("sequence"), leaf.alias("leaf"), "line")
-
-
-def dropped(docs: DataFrame, scratch: Scratch, agree: float = AGREE, least_docs: int = LEAST_DOCS) -> DataFrame:
+    words = F.size(tokens) - F.char_length("line") + F.char_length(F.replace("line", F.lit("0"), F.lit("")))
+    return rows.select("doc_id", F.xxhash64("line").alias("sequence"), leaf.alias("leaf"), words.alias("words"), "line")
+
+
+def templates(texts: DataFrame, scratch: Scratch, agree: float, least_docs: int) -> DataFrame | None:
+    """sequence and template of the instances among texts (leaf, sequence, tokens, n)."""
+    found, level = None, 0
+    rest = texts.select(F.col("leaf").alias("group"), "sequence", F.slice("tokens", DEPTH + 1, F.size("tokens")).alias("tokens"), "n")
+    while True:
+        # a part that could recur and still has several sequences
+        parts = rest.groupBy("group").agg(F.sum("n").alias("lines"), F.count(F.lit(1)).alias("sequences")).where((F.col("lines") >= least_docs) & (F.col("sequences") > 1))
+        rest = scratch.keep(rest.join(parts.select("group", "lines"), "group"), f"rest{level}")
+        if rest.isEmpty():
+            return found
+        cells = rest.select("group", "lines", "n", F.posexplode("tokens").alias("at", "token")).groupBy("group", "lines", "at", "token").agg(F.sum("n").alias("n"))
+        cells = scratch.keep(cells, f"cells{level}")
+        by_place = cells.groupBy("group", "lines", "at").agg(F.max_by("token", F.struct("n", F.xxhash64("token"))).alias("token"), F.max("n").alias("most"))
+        fixed = F.when(F.col("most") >= agree * F.col("lines"), F.struct("at", "token"))
+        agreed = by_place.groupBy("group").agg(F.collect_list(fixed).alias("fixed"), F.count(F.lit(1)).alias("size"))
+        enough = F.size("fixed") >= agree * F.col("size")
+        has = F.forall("fixed", lambda f: F.get(F.col("tokens"), f["at"]) == f["token"])
+        judged = scratch.keep(rest.join(agreed, "group").select("group", "sequence", "tokens", "n", (enough & has).alias("instance")), f"judged{level}")
+        some = judged.where("instance").select("sequence", F.xxhash64("group", F.lit(level)).alias("template"))
+        found = some if found is None else found.unionByName(some)
+        left = judged.where("not instance").select("group", "sequence", "tokens", "n")
+        each = left.select("group", "sequence", F.posexplode("tokens").alias("at", "token"))
+        anchor = each.join(cells.where("n < lines").select("group", "at", "token", F.col("n").alias("held")), ["group", "at", "token"])
+        anchor = anchor.groupBy("group", "sequence").agg(F.max(F.struct("held", (-F.col("at")).alias("back"), "token")).alias("a"))
+        rest = left.join(anchor, ["group", "sequence"]).select(F.xxhash64("group", "a.back", "a.token").alias("group"), "sequence", "tokens", "n")
+        level += 1
+
+
+def copies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (doc_id, first) that share, in equal lines, nine tenths of the words of the two together."""
+    ids = pairs.select("doc_id").unionByName(pairs.select(F.col("first").alias("doc_id"))).distinct()
+    held = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("words")))
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(ids, "doc_id", "left_semi").select("doc_id", F.array_distinct(held).alias("held")).dropDuplicates(["doc_id"])
+    both = pairs.join(held, "doc_id").join(held.select(F.col("doc_id").alias("first"), F.col("held").alias("other")), "first")
+    words = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, e: s + e["words"])
+    alike = words(F.array_intersect("held", "other"))
+    return both.where(10 * alike >= 9 * (words(F.col("held")) + words(F.col("other")) - alike)).select("doc_id", "first")
+
+
+def long_recurring(docs: DataFrame, rows: DataFrame, counted: DataFrame, scratch: Scratch, least_docs: int, long: int) -> DataFrame:
+    """doc_id and sequence of the long lines that go though they stand in fewer than least_docs documents."""
+    often = counted.where((F.col("n") > 1) & (F.col("words") >= long)).select("sequence")
+    held = scratch.keep(rows.select("doc_id", "sequence").join(often, "sequence", "left_semi").distinct(), "long")
+    first = held.groupBy("sequence").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs").between(2, least_docs - 1))
+    gone = scratch.keep(held.join(first.drop("docs"), "sequence").where("doc_id <> first").select("doc_id", "first", "sequence"), "long-gone")
+    whole = copies(docs, gone.select("doc_id", "first").distinct())
+    return gone.join(whole, ["doc_id", "first"], "left_anti").select("doc_id", "sequence")
+
+
+def dropped(docs: DataFrame, scratch: Scratch, agree: float = AGREE, least_docs: int = LEAST_DOCS, long: int = LONG) -> DataFrame:
     """doc_id and sequence of the lines that go."""
     rows = lines(docs)
     # sequences of leaves that could recur: by hashes alone, pre-aggregated in the map tasks
-    counted = rows.groupBy("sequence", "leaf").agg(F.count(F.lit(1)).alias("n"))
+    counted = scratch.keep(rows.groupBy("sequence", "leaf").agg(F.count(F.lit(1)).alias("n"), F.max("words").alias("words")), "counted")
     leaves = counted.groupBy("leaf").agg(F.count(F.lit(1)).alias("sequences"), F.sum("n").alias("n")).where(F.col("n") >= least_docs)
     leaves = scratch.keep(leaves, "leaves")
     small = rows.select("doc_id", "sequence", "leaf").join(leaves.select("leaf"), "leaf")
@@ -53,15 +106,14 @@ def dropped(docs: DataFrame, scratch: Scratch, agree: float = AGREE, least_docs:
     several = leaves.where("sequences > 1").select("leaf")
     texts = rows.join(several, "leaf", "left_semi").groupBy("leaf", "sequence").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n"))
     texts = scratch.keep(texts.select("leaf", "sequence", F.split("line", " ").alias("tokens"), "n"), "texts")
-    by_token = texts.select("leaf", "n", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"))
-    by_place = by_token.groupBy("leaf", "at").agg(F.max_by("token", F.struct("n", F.xxhash64("token"))).alias("token"), F.max("n").alias("most"), F.sum("n").alias("n"))
-    fixed = F.when(F.col("most") >= agree * F.col("n"), F.struct("at", "token"))
-    templates = by_place.groupBy("leaf").agg(F.collect_list(fixed).alias("fixed"), F.count(F.lit(1)).alias("size")).where(F.size("fixed") >= agree * F.col("size"))
-    instances = texts.join(templates, "leaf").where(F.forall("fixed", lambda f: F.get(F.col("tokens"), f["at"]) == f["token"])).select("sequence", F.col("leaf").alias("template")).dropDuplicates(["sequence"])
-    named = small.join(scratch.keep(instances, "instances"), "sequence", "left").select("doc_id", "sequence", F.coalesce("template", "sequence").alias("template"))
+    instances = templates(texts, scratch, agree, least_docs)
+    named = small.withColumn("template", F.col("sequence"))
+    if instances is not None:
+        named = small.join(scratch.keep(instances, "instances"), "sequence", "left").select("doc_id", "sequence", F.coalesce("template", "sequence").alias("template"))
     first = named.dropDuplicates(["doc_id", "template"]).groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= least_docs)
     first = scratch.keep(first.select("template", "first"), "recurring")
-    return named.join(first, "template").where("doc_id <> first").select("doc_id", "sequence")
+    gone = named.join(first, "template").where("doc_id <> first").select("doc_id", "sequence")
+    return gone.unionByName(long_recurring(docs, rows, counted, scratch, least_docs, long))
 
 
 def cleaned(docs: DataFrame, **how) -> DataFrame:

@@ -217,6 +217,25 @@ def test_lines(spark, docs, empty):
     assert out.columns == docs.columns and out.count() == docs.count() and line_dedup.keep(empty).count() == 0
 
 
+def test_long_lines_of_two_documents(spark):
+    shared = "this notice of twelve plain words stands in two or three documents"
+    own = lambda i: "\n".join(" ".join(f"{chr(97 + i)}{chr(97 + j)}{chr(97 + k)}" for k in range(12)) for j in range(6))
+    rows = [(i, f"{own(i)}\n{shared}\nshort line of two") for i in range(3)] + [(10, own(0) + "\nend"), (11, own(4)), (12, own(4))]
+    got = {r.doc_id: r.text for r in line_dedup.keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == f"{own(i)}\nshort line of two" for i in (1, 2))
+    assert got[10] == "end" and got[11] == got[12] == own(4)  # equal documents are left to the near-duplicate operator
+
+
+def test_mixed_leaf(spark):
+    """Two families and lines that differ in their last word meet in a leaf."""
+    name = lambda i: "".join(chr(97 + (i * 7 + k * i) % 26) for k in range(6)) + chr(97 + i % 26) + chr(97 + i // 26)
+    rows = [(i, f"Visit our page for user {name(i)} today and every") for i in range(100)]
+    rows += [(100 + i, f"Visit our page for news from our team {name(i)}") for i in range(40)]
+    rows += [(200 + i, f"we all agree about {name(i)}") for i in range(8)]
+    got = {r.doc_id: r.text for r in line_dedup.keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in range(140) if got[i]] == [0, 100] and all(got[i] == t for i, t in rows[140:])
+
+
 def test_quality_with_few_labels(spark):
     """A tenth of the good and bad documents is labelled; clean documents without a label are kept as often as those with one."""
     draw = np.random.default_rng(2)
