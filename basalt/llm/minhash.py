@@ -1,8 +1,8 @@
 """Near-duplicate documents by b-bit MinHash.
 
 Words are runs of other characters than space and U+0009 to U+000D, A-Z lower-cased. A document's set is its distinct
-shingles of ``k`` words; fewer words make one shingle. Equal sets are one class, its node the smallest id, so
-exact copies cost one comparison however many they are.
+shingles of ``k`` words; fewer words make one shingle. Equal sets are one class, so exact copies cost one comparison
+however many they are.
 
 ``bands * rows`` minima sign a set. Groups of ``rows`` minima are band keys: at similarity 0.8, 24 bands of 4 miss a pair
 with a chance of 3e-6. Of every minimum the lowest 4 bits are kept, packed; the share of equal ones, less
@@ -12,12 +12,14 @@ empty bin), and passed over at 0.1 below the threshold or less, again five stand
 
 Candidates are not all pairs of a band's bucket. Each bucket's first member (one random order for all buckets, so a group
 of copies meets the same centre) is compared with the others, and links are contracted to components. Only buckets
-that still hold several components go on: their members are compared by signatures in blocks of bounded size, first for
-a spanning forest of the likeliest pairs, fewer than the members, which joins most of a group; then all likely pairs across what is still
-apart are confirmed, the likeliest of any two components first, until none is left. So no pair that could join two components goes untested, and a group of n copies that all resemble one takes n comparisons.
+that still hold several components go on, in blocks of bounded size. A task takes two blocks: first by signatures, and
+returns the members that have a likely partner in another component; then those alone, with their full sets, and
+returns the confirmed links that join components, at most one less than its members. So every likely pair that could join two components is
+confirmed or refuted, and no list of pairs is ever written.
 
 Results: null texts and texts without words have an empty set and link with nothing; rows with a null id have no component
-and are kept; repeated rows and rows of one id are one document; other columns do not matter; an empty table gives
+and are kept; repeated rows, and rows of one id whose sets are equal, are one document; rows of one id and different texts are judged each
+by its own text and have the id's smallest component each; other columns do not matter; an empty table gives
 an empty table; texts are read whole.
 """
 
@@ -27,15 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 from .components import components, joined
 from .scratch import Scratch
-from .words import hashes_of, mix, slices, windows, word_hashes
+from .words import free, hashes_of, mix, slices, windows, word_hashes
 
 BANDS, ROWS, BITS = 24, 4, 4
-#: Members of a block that are compared with each other; likeliest pairs of two components confirmed first, eight times as many each round.
-BLOCK, AT_ONCE = 512, 32
+#: Members of a block, and shingles of a block (8 bytes each), that are compared with each other.
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 #: How far below the threshold an estimate may lie: five standard errors at 0.8.
 MARGIN = 0.2
 #: The second signature's bins (a power of two), and how far below the threshold its estimate may lie: five standard errors at 0.8.
@@ -116,15 +116,20 @@ def likely_rows(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray,
     return at[near], e[near]
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, said (a hash of the text) and text."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("said"), docs["text"].alias("text"))
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys and packed signature of each row."""
+    """doc_id, said, n_shingles, digest of the set, band keys and packed signature of each row."""
 
     def run(batches):
         from xxhash import xxh3_128_digest
 
         memo = word_hashes()
         for batch in batches:
-            for ids, texts in slices(batch, "doc_id", "text"):
+            for ids, said, texts in slices(batch, "doc_id", "said", "text"):
                 out = []
                 for text in texts:
                     found = shingles(text, memo, k)
@@ -134,9 +139,27 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     else:
                         out.append((0, None, None, None))
                 n, digest, keys, sig = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "digest", "keys", "sig"])
+                columns = [pa.array(ids, pa.int64()), pa.array(said, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "said", "n_shingles", "digest", "keys", "sig"])
+
+    return identified(docs).mapInArrow(run, "doc_id long, said long, n_shingles long, digest binary, keys array<long>, sig binary")
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, sig binary")
+
+def sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """node and its shingles (sorted hashes) of the classes wanted (node, least, digest), from a text of the id ``least``."""
+
+    def run(batches):
+        from xxhash import xxh3_128_digest
+
+        memo = word_hashes()
+        for batch in batches:
+            for nodes, digests, texts in slices(batch, "node", "digest", "text"):
+                found = [shingles(t, memo, k).tobytes() for t in texts]
+                same = [i for i, x in enumerate(found) if xxh3_128_digest(x) == digests[i]]  # another text of the id is not meant
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in same], pa.int64()), pa.array([found[i] for i in same], pa.binary())], ["node", "shingles"])
+
+    rows = identified(docs).select("doc_id", "text").join(wanted.select("node", F.col("least").alias("doc_id"), "digest"), "doc_id").select("node", "digest", "text")
+    return rows.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def likely(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
@@ -154,175 +177,160 @@ def likely(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, estimate double")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets share at least that percentage of their union."""
+def alike(both, n, m, percent: int):
+    """Whether sets of n and m elements, ``both`` of them shared, reach the percentage."""
+    return (both > 0) & (100 * both >= percent * (n + m - both))
+
+
+def confirmed(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose full sets, in known (node, shingles), share at least that percentage of their union."""
 
     def run(batches):
-        memo, before = word_hashes(), (None, None)
         for batch in batches:
-            for a, b, x, y in slices(batch, "a", "b", "text_a", "text_b"):
+            for a, b, x, y in slices(batch, "a", "b", "one", "two"):
                 out = []
-                for i, text, other in zip(range(len(a)), x, y, strict=True):
-                    if before[0] != other:
-                        before = other, shingles(other, memo, k)  # rows come by their second text
-                    one, two = shingles(text, memo, k), before[1]
-                    both = len(np.intersect1d(one, two, assume_unique=True))
-                    if both and 100 * both >= percent * (len(one) + len(two) - both):
+                for i, (one, two) in enumerate(zip(x, y, strict=True)):
+                    one, two = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+                    if alike(len(np.intersect1d(one, two, assume_unique=True)), len(one), len(two), percent):
                         out.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in out], pa.int64()), pa.array([b[i] for i in out], pa.int64())], ["a", "b"])
 
-    one = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.sortWithinPartitions("b").mapInArrow(run, "a long, b long")
-
-
-def blocks(members: DataFrame) -> DataFrame:
-    """members (key, node, comp, sig) of buckets, dealt to pairs of blocks; a member goes to as many as its bucket has blocks."""
-    size = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    dealt = members.join(size, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("n", "other")
-
-
-def crossing(sig, node, comp, own, one_block, least):
-    """Likely pairs (a, b, estimate) of different components of one pair of blocks; the largest component comes last, so is never compared with itself."""
-    _, at, size = np.unique(comp, return_inverse=True, return_counts=True)
-    order = np.lexsort((at, size[at]))
-    sig, node, at, own = sig[order], node[order], at[order], own[order]
-    ends = np.append(np.nonzero(np.diff(at))[0] + 1, len(at))
-    begin = 0
-    for end in ends[:-1]:
-        for r in range(begin, end):
-            hit, e = likely_rows(sig[r], sig[end:], least)
-            if not one_block:
-                other = own[end:][hit] != own[r]
-                hit, e = hit[other], e[other]
-            if len(hit):
-                s = node[end:][hit]
-                yield np.minimum(node[r], s), np.maximum(node[r], s), e
-        begin = end
-
-
-def forest(a, b, e, node, comp):
-    """The places of the pairs of a spanning forest of components, likeliest pairs first: fewer than there are components."""
-    of = dict(zip(node.tolist(), comp.tolist(), strict=True))
-    root = {c: c for c in of.values()}
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out, missing = [], len(root) - 1
-    for at in np.lexsort((b, a, -e)).tolist():
-        x, y = find(of[int(a[at])]), find(of[int(b[at])])
-        if x != y:
-            root[x] = y
-            out.append(at)
-            if len(out) == missing:
-                break
-    return out
+    one = pairs.select("a", "b").join(known.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a")
+    return one.join(known.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, least: float, spanning: bool) -> DataFrame:
-    """Likely pairs of different components within buckets, or a spanning forest of them; a worker holds one pair of blocks at a time."""
+def paired(rows: DataFrame, columns: list[str], judge, schema: str) -> DataFrame:
+    """What judge makes of the rows (key, i, j, node, comp, own, ...) of each pair of blocks; a worker holds one pair at a time."""
 
     def run(batches):
-        def pairs(group):
-            sig, node, comp, own, i, j = (np.concatenate(x) for x in zip(*group, strict=True))
-            sig = sig.reshape(len(node), -1)
-            found = list(crossing(sig, node, comp, own, i[0] == j[0], least))
-            if found:
-                a, b, e = (np.concatenate(x) for x in zip(*found, strict=True))
-                if spanning:
-                    at = forest(a, b, e, node, comp)
-                    a, b, e = a[at], b[at], e[at]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(e)], ["a", "b", "estimate"])
-
         group, last = [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, node, comp, own, i, j = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "comp", "own", "i", "j"))
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(len(key), -1)
+            key, i, j = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j"))
             cuts = np.nonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))[0] + 1
             for x, y in zip([0, *cuts], [*cuts, len(key)], strict=True):
                 if last != (key[x], i[x], j[x]):
                     if group:
-                        yield from pairs(group)
+                        yield from judge(pa.Table.from_batches(group), last)
                     group, last = [], (key[x], i[x], j[x])
-                group.append((sig[x:y].ravel(), node[x:y], comp[x:y], own[x:y], i[x:y], j[x:y]))
+                group.append(batch.slice(x, y - x))
         if group:
-            yield from pairs(group)
-
-    dealt = blocks(members).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "own", "node", "comp", "sig").mapInArrow(run, "a long, b long, estimate double")
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links reach) and kept of each row."""
+            yield from judge(pa.Table.from_batches(group), last)
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.select("key", "i", "j", "node", "comp", "own", *columns).mapInArrow(run, schema)
+
+
+def with_partners(members: DataFrame, least: float) -> DataFrame:
+    """The rows (key, i, j, node, comp, own) of members of pairs of blocks that have a likely partner in another component there."""
+
+    def judge(rows: pa.Table, at):
+        comp, own = (rows.column(c).to_numpy() for c in ("comp", "own"))
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(rows), -1)
+        _, which, size = np.unique(comp, return_inverse=True, return_counts=True)
+        order = np.lexsort((which, size[which]))  # the largest component comes last, so is never compared with itself
+        which, own, sig = which[order], own[order], sig[order]
+        ends, begin, some = np.append(np.nonzero(np.diff(which))[0] + 1, len(which)), 0, np.zeros(len(which), bool)
+        for end in ends[:-1]:
+            for r in range(begin, end):
+                hit, _ = likely_rows(sig[r], sig[end:], least)
+                hit = hit if at[1] == at[2] else hit[own[end:][hit] != own[r]]
+                if len(hit):
+                    some[r] = True
+                    some[end + hit] = True
+            begin = end
+        if some.any():
+            yield from rows.select(["key", "i", "j", "node", "comp", "own"]).take(pa.array(np.sort(order[some]))).combine_chunks().to_batches()
+
+    return paired(members, ["sig"], judge, "key long, i int, j int, node long, comp long, own int")
+
+
+def crossing(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of components, confirmed on the full sets: of every pair of blocks a spanning forest."""
+
+    def judge(rows: pa.Table, at):
+        comp, own = (rows.column(c).to_numpy() for c in ("comp", "own"))
+        each = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in each])
+        start = np.concatenate([[0], np.cumsum(size)])
+        vocabulary, ids = np.unique(np.concatenate(each), return_inverse=True)
+        now, mark, links = comp.copy(), np.zeros(len(vocabulary), bool), []
+        for r in range(len(each) - 1):
+            apart = now[r + 1 :] != now[r]
+            if at[1] != at[2]:
+                apart &= own[r + 1 :] != own[r]
+            if not apart.any():
+                continue
+            mark[ids[start[r] : start[r + 1]]] = True
+            both = np.add.reduceat(mark[ids[start[r + 1] :]], start[r + 1 : -1] - start[r + 1], dtype=np.int64)
+            mark[ids[start[r] : start[r + 1]]] = False
+            for s in (r + 1 + np.flatnonzero(apart & alike(both, size[r], size[r + 1 :], percent))).tolist():
+                if now[s] != now[r]:
+                    links.append((comp[r], comp[s]))
+                    now[now == now[s]] = now[r]
+        if links:
+            a, b = zip(*links, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return paired(members, ["shingles"], judge, "a long, b long")
+
+
+def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, said, n_shingles, digest, component (a number) and component_id (the smallest id that links reach) of each row; the last two null for sets that are empty or have no id."""
     scratch = Scratch(docs.sparkSession, "minhash")
     signed = scratch.keep(signatures(docs, k), "signatures")
-    known = signed.where("doc_id is not null and n_shingles > 0")
-    classes = scratch.keep(known.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    first = known.join(classes, (known["digest"] == classes["digest"]) & (known["doc_id"] == classes["node"]), "left_semi")
-    first = scratch.keep(first.select(F.col("doc_id").alias("node"), "sig", "keys").dropDuplicates(["node"]), "nodes")
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).where("doc_id is not null")
-    least = percent / 100
-
-    keyed = first.select("node", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node")).alias("centre")).where("n > 1")
+    usable = signed.where("doc_id is not null and n_shingles > 0").groupBy("digest")
+    classes = usable.agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    signs, threshold = classes.select("node", "sig"), percent / 100
+    named = lambda nodes: classes.select("node", "least", "digest").join(nodes, "node", "left_semi")
+
+    keyed = classes.select("node", "n", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min_by("node", F.xxhash64("node")).alias("centre")).where("members > 1")
     shared = scratch.keep(keyed.join(scratch.keep(buckets.select("key", "centre"), "buckets"), "key"), "shared")
     stars = shared.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    links = scratch.keep(confirmed(scratch.keep(likely(stars, first, least), "likely"), texts, k, percent), "links0")
-    found = components(links, scratch, "found0")
-
-    def members(found):
-        """Of buckets that still hold several components."""
-        named = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        return named.join(mixed, "key").join(first.select("node", "sig"), "node").select("key", "node", "comp", "sig")
-
-    def contracted(found, pairs, more, name):
-        between = pairs.join(more, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        return joined(found, between, scratch, name)
-
-    def by_component(pairs, found):
-        in_a, in_b = found.select(F.col("node").alias("a"), F.col("component").alias("ca")), found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        return pairs.join(in_a, "a", "left").join(in_b, "b", "left").select("a", "b", "estimate", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    spans = across(members(found), least, True).groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
-    spans = scratch.keep(by_component(spans.join(tested, ["a", "b"], "left_anti"), found), "spans")
-    found = contracted(found, spans, scratch.keep(confirmed(spans, texts, k, percent), "links-spans"), "found-spans")
-    tested = tested.unionByName(spans.select("a", "b"))
-    waiting = across(members(found), least, False).groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
-    waiting = scratch.keep(waiting.join(tested, ["a", "b"], "left_anti"), "waiting0")
-    k_round, at_once = 0, AT_ONCE
-    while not waiting.isEmpty():
-        k_round += 1
-        open_ = by_component(waiting, found)
-        order = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("estimate"), "a", "b")
-        open_ = scratch.keep(open_.withColumn("place", F.row_number().over(order)), f"open{k_round}")
-        more = scratch.keep(confirmed(open_.where(f"place <= {at_once}"), texts, k, percent), f"links{k_round}")
-        if not more.isEmpty():
-            found = contracted(found, open_, more, f"found{k_round}")
-        waiting = scratch.keep(open_.where(f"place > {at_once}").select("a", "b", "estimate"), f"waiting{k_round}")
-        at_once *= 8
-
-    named = classes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    rows = signed.select("doc_id", "n_shingles", "digest")
-    whole = rows.join(named, "digest", "left")
-    own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return whole.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    stars = scratch.keep(likely(stars, signs, threshold).select("a", "b"), "stars")
+    in_stars = scratch.keep(sets(docs, named(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()), k), "sets-of-stars")
+    found = components(confirmed(stars, in_stars, percent), scratch, "found")
+
+    held = shared.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    mixed = held.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("n")).where("x <> y")
+    mixed = scratch.keep(mixed.select("key", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "mixed")
+    dealt = held.join(mixed, "key").join(signs, "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    open_ = scratch.keep(with_partners(dealt, threshold), "open")
+    in_blocks = scratch.keep(sets(docs, named(open_.select("node").distinct()), k), "sets-of-blocks")
+    found = joined(found, crossing(open_.join(in_blocks, "node"), percent), scratch, "found-last")
+
+    own = classes.select("digest", "node", "least").join(found, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("component"))
+    least = scratch.keep(own.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    own = scratch.keep(own.join(least, "component").select("digest", "component", "component_id"), "components")
+    rows = signed.select("doc_id", "said", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    return rows.join(own, "digest", "left")
 
 
-def keep(docs: DataFrame, **how) -> DataFrame:
-    """One row of each group of near-duplicates, the one of the smallest id, with all its columns."""
-    gone = near_duplicates(docs, **how).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    once = docs.where("doc_id is not null").join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id is null"))
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id that links reach) and kept of each row."""
+    own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
+    rows = grouped(docs, k, percent).select("doc_id", "n_shingles", own.alias("component_id"))
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: of the smallest id; of several texts of that id the first by
+    digest. Rows with a null id or an empty set are no group; of rows of one id and text one stays, the first by a hash of all columns."""
+    scratch = Scratch(docs.sparkSession, "minhash-keep")
+    rows = scratch.keep(grouped(docs, k, percent).where("component is not null").select("doc_id", "said", "component", F.struct("doc_id", "digest", "said").alias("place")), "rows")
+    first = scratch.keep(rows.groupBy("component").agg(F.min("place").alias("first")), "first")
+    gone = rows.join(first, "component").where("place <> first").select("doc_id", "said").distinct()
+    row, id_, said = (free(docs, c) for c in ("row", "id", "said"))
+    whole = docs.where(docs["doc_id"].isNotNull()).select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias(row), docs["doc_id"].cast("long").alias(id_), F.xxhash64(docs["text"]).alias(said))
+    stay = whole.join(gone.toDF(id_, said), [id_, said], "left_anti")
+    order = F.xxhash64(*(F.col(f"{row}.`{f.name}`") for f in docs.schema if "map" not in f.dataType.simpleString()))
+    once = stay.groupBy(id_, said).agg(F.min_by(row, order).alias(row))
+    return once.select(f"{row}.*").unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -57,6 +57,14 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def free(frame, name: str) -> str:
+    """A column name like ``name`` that the frame does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batch: pa.RecordBatch, *columns: str, rows: int = SLICE) -> Iterator[list[list]]:
     """Python lists of the named columns, some rows at a time."""
     for at in range(0, batch.num_rows, rows):
