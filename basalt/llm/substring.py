@@ -5,12 +5,14 @@ earlier: in a smaller doc_id, or in the same document further left. Windows are
 
 Fingerprints are the windows' minimisers: of the hashes of all runs of ``gram`` words in a window the smallest, leftmost
 first. Equal windows have equal minimisers, so a window whose minimiser occurs once occurs once, and one in seven words
-gives a fingerprint. The index is a list of *runs*, sorted tables of the distinct fingerprints of a batch, never changed
-once written. A batch's own run is merge-joined with each historical run; the fingerprints found there, and those that the batch
-has twice, are *shared*. Only windows of shared fingerprints are emitted, from the batch and from the history, and
-verified: a fingerprint's windows meet
-in one task, are sorted by a 64-bit hash of all their words and by document, and all but the first are repeats. When there are
-more than ``most_runs`` runs they are merged into one.
+gives a fingerprint. The index is a folder of *runs*, sorted immutable tables with one row a distinct fingerprint and context: six bits of each word
+in the windows around it, from which the hash of every one of these windows can be worked out again. A manifest names the
+runs; ``Index.open`` reads it in a later job. A batch reads its own texts alone, never the history's: its run's fingerprints
+are merge-joined with those of each historical run; the fingerprints found there, and those that the batch
+has twice, are *shared*. The batch's windows of shared fingerprints and the history's, restored from contexts, meet
+in one task a fingerprint, are sorted by window hash and by document, and all but the first are repeats. Windows count as equal by 64 bits of a hash of ``gram``
+of their words and six bits of each other word (136 bits in all, the latter 72 by a 64-bit hash). Then the batch's run
+joins the manifest. A batch that finds more than ``most_runs`` runs first compacts them into one.
 
 Shared fingerprints reach the tasks as a filter of 2^27 bits (16 MB, whatever the input): one that it lets through by chance
 costs rows, not results. A task sends only the first of equal windows of a slice into the shuffle and marks the others, so a
@@ -18,26 +20,33 @@ passage in a third of all documents sends one row a slice, not one a document.
 
 Results: null texts have no words (digest of nothing); rows with a null id come after all others; rows of one id and
 text are one document, rows of one id and different texts are ordered by a hash of the text; other columns do
-not matter; an empty table gives an empty table; texts are read whole.
+not matter; an empty table gives an empty table; texts are read whole. A run without its line in the manifest (its job was lost)
+is never read; a batch that is repeated after its line was written finds itself, so repeat from the manifest before it.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import hashes_of, mix, windows, word_hashes
+from .words import hashes_of, mix, sums, windows, word_hashes
 
 WIDTH, GRAM = 20, 8
 FILTER_BITS = 27
 #: Rows turned into Python objects at once; equal windows among them meet before the shuffle.
 ROWS = 1024
 LAST = (1 << 63) - 1
+#: The place of the history: before every document.
+PAST = -(1 << 63)
+ODD = np.uint64(0x9E3779B97F4A7C15)
+RUN = "fingerprint long, left int, context binary, n int"
 
 
 def minimisers(h: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +59,51 @@ def minimisers(h: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.nda
     return grams[at], at
 
 
+def changes(where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rising places the first index of each, and how often it comes."""
+    first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+    return first, np.diff(np.append(first, len(where)))
+
+
+def codes(h: np.ndarray) -> np.ndarray:
+    """Six bits of each word, from 1 to 64."""
+    return (h >> np.uint64(58)).astype(np.uint8) + np.uint8(1)
+
+
+def keys(whole: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Window hashes from the polynomials of the words around the fingerprints, ``left`` of them before it."""
+    return mix(whole ^ (left.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def window_keys(c: np.ndarray, where: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """The hash of each window of a text with these codes: its words but for the fingerprint's."""
+    left = where - np.arange(len(where))
+    powers = np.array([pow(int(ODD), i, 1 << 64) for i in range(width - gram + 1)], np.uint64)
+    return keys(sums(c, width) - sums(c, gram)[where] * powers[width - gram - left], left)
+
+
+def ragged(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of that many elements: the row of each element, and its place in the row."""
+    row = np.repeat(np.arange(len(size)), size)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def restored(left: np.ndarray, contexts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all windows of contexts with that many words before the fingerprint, and the row of each."""
+    size = np.array([len(x) for x in contexts])
+    row, at = ragged(size)
+    begin = np.cumsum(size + gram) - size - gram
+    c = np.zeros(int((size + gram).sum()), np.uint8)
+    c[begin[row] + at + gram * (at >= left[row])] = np.frombuffer(b"".join(contexts), np.uint8)
+    row, at = ragged(size - (width - gram) + 1)
+    return keys(sums(c, width)[begin[row] + at], left[row] - at), row
+
+
+def binaries(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def shifted(fingerprints: np.ndarray) -> np.ndarray:
     return (fingerprints >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
@@ -60,48 +114,100 @@ def prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("doc"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("salt"), docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"))
 
 
-def fingerprints(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """The run of a batch: fingerprint and how often the batch has it (2: twice or more)."""
+def run_rows(docs: DataFrame, width: int, gram: int) -> DataFrame:
+    """The rows of a batch's run: fingerprint, words before it, context and how often a slice has it (2: twice or more)."""
 
     def run(batches):
         memo = word_hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                found = [np.empty(0, np.uint64)]
+                value, first, left, size, code, n = [], [], [], [], [], 0
                 for text in batch.column("text").slice(at, ROWS).to_pylist():
-                    value, where = minimisers(hashes_of(text.encode().split(), memo), width, gram)
-                    found.append(value[np.unique(where, return_index=True)[1]])
-                value, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(np.minimum(n, 2), pa.int32())], ["fingerprint", "n"])
+                    h = hashes_of(text.encode().split(), memo)
+                    v, where = minimisers(h, width, gram)
+                    if not len(v):
+                        continue
+                    start, many = changes(where)
+                    for col, x in zip((value, first, left, size, code), (v[start], n + start, where[start] - start, many + width - gram - 1, codes(h)), strict=True):
+                        col.append(x)
+                    n += len(h)
+                if not value:
+                    continue
+                value, first, left, size, code = map(np.concatenate, (value, first, left, size, code))
+                row, t = ragged(size)
+                context = code[first[row] + t + gram * (t >= left[row])]
+                digest = np.add.reduceat(mix(context.astype(np.uint64) << np.uint64(32) | t.astype(np.uint64)), np.cumsum(size) - size) + left.astype(np.uint64) * ODD
+                order = np.lexsort((digest, value))
+                new = np.nonzero(np.concatenate([[True], (value[order][1:] != value[order][:-1]) | (digest[order][1:] != digest[order][:-1])]))[0]
+                many, one = np.diff(np.append(new, len(order))), order[new]
+                yield pa.RecordBatch.from_arrays([pa.array(value[one].view(np.int64)), pa.array(left[one].astype(np.int32)), binaries(context, size).take(pa.array(one)), pa.array(np.minimum(many, 2).astype(np.int32))], ["fingerprint", "left", "context", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "fingerprint long, n int")
-    return rows.groupBy("fingerprint").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"))
+    return docs.select("text").mapInArrow(run, RUN)
 
 
 class Index:
-    """Sorted immutable runs of fingerprints."""
-
-    def __init__(self, scratch: Scratch, most_runs: int = 4):
-        self.scratch, self.most_runs, self.runs, self.written = scratch, most_runs, [], 0
-
-    def write(self, rows: DataFrame) -> DataFrame:
-        self.written += 1
-        return self.scratch.keep(rows.sortWithinPartitions("fingerprint"), f"run{self.written}")
-
-    def shared(self, run: DataFrame) -> DataFrame:
-        """Fingerprints of a batch's run that it has twice or that a historical run has."""
-        out = run.where("n > 1").select("fingerprint")
-        for old in self.runs:
-            out = out.unionByName(run.hint("merge").join(old.hint("merge"), "fingerprint", "left_semi").select("fingerprint"))
-        return out
-
-    def add(self, run: DataFrame) -> None:
-        self.runs.append(run)
-        if len(self.runs) > self.most_runs:
-            merged = self.runs[0]
-            for more in self.runs[1:]:
-                merged = merged.unionByName(more)
-            self.runs = [self.write(merged.groupBy("fingerprint").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n")))]
+    """Sorted immutable runs in a folder, named by the newest of its manifests."""
+
+    def __init__(self, spark: SparkSession, folder: str, most_runs: int = 4, runs: list[str] | None = None, version: int = 0):
+        self.spark, self.folder, self.most_runs, self.runs, self.version = spark, folder.rstrip("/"), most_runs, runs or [], version
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, most_runs: int = 4) -> Index:
+        """The index that an earlier job left in the folder, or an empty one."""
+        index = cls(spark, folder, most_runs)
+        files, top = index._files()
+        names = sorted(s.getPath().getName() for s in files.listStatus(top)) if files.exists(top) else []
+        if manifests := [n for n in names if n.startswith("manifest-")]:
+            told = json.loads(spark.read.text(f"{index.folder}/{manifests[-1]}", wholetext=True).first().value)
+            index.runs, index.version = told["runs"], told["version"]
+        return index
+
+    def _files(self, name: str = ""):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _commit(self, runs: list[str]) -> None:
+        version = self.version + 1
+        files, path = self._files(f"manifest-{version:08}")
+        out = files.create(path, False)  # fails if another job wrote this version
+        out.write(bytearray(json.dumps({"version": version, "runs": runs}).encode()))
+        out.close()
+        self.runs, self.version = runs, version
+
+    def write(self, rows: DataFrame) -> str:
+        """A run that no manifest names yet."""
+        name = f"run-{uuid.uuid4().hex[:12]}"
+        rows.sortWithinPartitions("fingerprint").write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        return name
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(f"{self.folder}/{name}")
+
+    def add(self, name: str) -> None:
+        self._commit([*self.runs, name])
+
+    def compact(self) -> None:
+        """All runs merged into one, if there are more than most_runs."""
+        if len(self.runs) <= self.most_runs:
+            return
+        merged = self.read(self.runs[0])
+        for name in self.runs[1:]:
+            merged = merged.unionByName(self.read(name))
+        old, one = self.runs, self.write(merged.groupBy("fingerprint", "left", "context").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n")))
+        self._commit([one])
+        for name in old:
+            files, path = self._files(name)
+            files.delete(path, True)
+
+
+def shared_fingerprints(run: DataFrame, history: list[DataFrame]) -> DataFrame:
+    """Fingerprints of a batch's run that it has twice or that a historical run has."""
+    own = run.groupBy("fingerprint").agg(F.sum("n").alias("n"))
+    out = own.where("n > 1").select("fingerprint")
+    for old in history:
+        out = out.unionByName(own.select("fingerprint").hint("merge").join(old.select("fingerprint").hint("merge"), "fingerprint", "left_semi"))
+    return out
 
 
 def bit_filter(shared: DataFrame) -> np.ndarray:
@@ -119,8 +225,8 @@ def passes(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
 
 
-def repeats(docs: DataFrame, bits, width: int, gram: int) -> DataFrame:
-    """doc, salt and runs of the windows whose sequence starts earlier in docs: a run is its first start times 2^32 plus its number of windows."""
+def repeats(docs: DataFrame, history: list[DataFrame], bits, width: int, gram: int) -> DataFrame:
+    """doc, salt and runs of the windows whose sequence starts earlier in docs or is in the history: a run is its first start times 2^32 plus its number of windows."""
 
     def emit(batches):
         memo, found = word_hashes(), bits.value
@@ -131,19 +237,22 @@ def repeats(docs: DataFrame, bits, width: int, gram: int) -> DataFrame:
                 for i, text in enumerate(part.column("text").to_pylist()):
                     h = hashes_of(text.encode().split(), memo)
                     value, where = minimisers(h, width, gram)
-                    start = np.nonzero(passes(found, shifted(value)))[0]
+                    if not len(value):
+                        continue
+                    one, many = changes(where)
+                    start = np.flatnonzero(np.repeat(passes(found, shifted(value[one])), many))
                     if len(start):
-                        for col, x in zip(cols, (windows(h, width)[start].view(np.int64), value[start].view(np.int64), where[start], np.full(len(start), i), start), strict=True):
+                        for col, x in zip(cols, (window_keys(codes(h), where, width, gram)[start].view(np.int64), value[start].view(np.int64), where[start], np.full(len(start), i), start), strict=True):
                             col.append(x)
                 key, value, where, row, start = map(np.concatenate, cols)
                 if not len(key):
                     continue
                 doc, salt = (np.asarray(part.column(c)) for c in ("doc", "salt"))
-                order = np.lexsort((start, salt[row], doc[row], key))
-                k, d, t, s = key[order], doc[row[order]], salt[row[order]], start[order]
+                order = np.lexsort((start, salt[row], doc[row], key, value))
+                k, v, d, t, s = key[order], value[order], doc[row[order]], salt[row[order]], start[order]
                 marked = np.zeros(len(key), bool)
                 # not the first: an equal window of another place stands before it, be it of the same row read twice or not
-                new = np.concatenate([[True], k[1:] != k[:-1]])
+                new = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
                 head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
                 marked[order] = (d != d[head]) | (t != t[head]) | (s != s[head])
                 yield from segments(doc, salt, value, where, row, start, key, ~marked)
@@ -162,6 +271,21 @@ def repeats(docs: DataFrame, bits, width: int, gram: int) -> DataFrame:
             ["fingerprint", "doc", "salt", "start", "n", "hashes"],
         )
 
+    def recall(batches):
+        """The history's windows of shared fingerprints."""
+        found = bits.value
+        for batch in batches:
+            value = np.asarray(batch.column("fingerprint"))
+            some = np.nonzero(passes(found, shifted(value.view(np.uint64))))[0]
+            for at in range(0, len(some), 16 * ROWS):
+                part = batch.take(pa.array(some[at : at + 16 * ROWS]))
+                key, row = restored(np.asarray(part.column("left")), part.column("context").to_pylist(), width, gram)
+                ends, zero = np.append(0, np.cumsum(np.bincount(row, minlength=part.num_rows))).astype(np.int32), np.zeros(part.num_rows, np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("fingerprint"), pa.array(np.full(part.num_rows, PAST)), pa.array(zero), pa.array(zero), pa.array(zero), pa.ListArray.from_arrays(pa.array(ends), pa.array(key.view(np.int64)))],
+                    ["fingerprint", "doc", "salt", "start", "n", "hashes"],
+                )
+
     def joined(doc, salt, start):
         """A row for each run of neighbouring starts, whatever else of a document comes to this task."""
         order = np.lexsort((start, salt, doc))
@@ -185,12 +309,12 @@ def repeats(docs: DataFrame, bits, width: int, gram: int) -> DataFrame:
                 batch = batch.filter(pa.array(~plain))
                 if not batch.num_rows:
                     continue
-            key, doc, salt, start = (np.asarray(batch.column(c)) for c in ("key", "doc", "salt", "start"))
-            new = np.concatenate([[last is None or key[0] != last[0]], key[1:] != key[:-1]])
+            key, value, doc, salt, start = (np.asarray(batch.column(c)) for c in ("key", "fingerprint", "doc", "salt", "start"))
+            new = np.concatenate([[last is None or key[0] != last[0] or value[0] != last[1]], (key[1:] != key[:-1]) | (value[1:] != value[:-1])])
             head = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            first = [np.where(head >= 0, x[head], f) for x, f in zip((doc, salt, start), last[1:] if last else (0, 0, 0), strict=True)]
-            repeated = (doc != first[0]) | (salt != first[1]) | (start != first[2])
-            last = (key[-1], first[0][-1], first[1][-1], first[2][-1])
+            first = [np.where(head >= 0, x[head], f) for x, f in zip((doc, salt, start), last[2:] if last else (0, 0, 0), strict=True)]
+            repeated = (doc > PAST) & ((doc != first[0]) | (salt != first[1]) | (start != first[2]))
+            last = (key[-1], value[-1], first[0][-1], first[1][-1], first[2][-1])
             held.append((doc[repeated], salt[repeated], start[repeated]))
             n += len(held[-1][0])
             if n > 1_000_000:
@@ -199,10 +323,14 @@ def repeats(docs: DataFrame, bits, width: int, gram: int) -> DataFrame:
         if n:
             yield joined(*map(np.concatenate, zip(*held, strict=True)))
 
-    rows = docs.mapInArrow(emit, "fingerprint long, doc long, salt int, start int, n int, hashes array<long>")
+    schema = "fingerprint long, doc long, salt int, start int, n int, hashes array<long>"
+    rows = docs.mapInArrow(emit, schema)
+    for old in history:
+        rows = rows.unionByName(old.mapInArrow(recall, schema))
     # the hashes of a fingerprint meet in one task, are spread out and sorted there
-    dealt = rows.repartition("fingerprint").select("doc", "salt", F.col("start").alias("from"), "n", F.posexplode_outer("hashes").alias("i", "key"))
-    told = dealt.select("key", "doc", "salt", (F.col("from") + F.coalesce("i", F.lit(0))).alias("start"), "n").sortWithinPartitions("key", "doc", "salt", "start")
+    dealt = rows.repartition("fingerprint").select("fingerprint", "doc", "salt", F.col("start").alias("from"), "n", F.posexplode_outer("hashes").alias("i", "key"))
+    place = F.col("from") + F.when(F.col("doc") > PAST, F.coalesce("i", F.lit(0))).otherwise(0)
+    told = dealt.select("key", "fingerprint", "doc", "salt", place.alias("start"), "n").sortWithinPartitions("key", "fingerprint", "doc", "salt", "start")
     return told.mapInArrow(later, "doc long, salt int, run long").groupBy("doc", "salt").agg(F.collect_list("run").alias("runs"))
 
 
@@ -221,33 +349,35 @@ def kept_words(text: str, runs: list[int] | None, width: int) -> tuple[list[byte
     return [w for w, g in zip(words, gone, strict=True) if not g], int(gone.sum())
 
 
-def dedup_batch(batch: DataFrame, history: DataFrame | None, index: Index, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """The batch's rows (doc, salt, doc_id, text) with the runs of repeated windows; its run joins the index.
+def dedup_batch(batch: DataFrame, index: Index, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """The batch's rows (doc, salt, doc_id, text), as ``prepared`` gives them, with the runs of repeated windows; its run joins the index.
 
-    Both tables as ``prepared`` gives them; every document of the history comes before the batch.
+    Every document of the index comes before the batch.
     """
-    spark = batch.sparkSession
-    run = index.write(fingerprints(batch, width, gram))
-    bits = spark.sparkContext.broadcast(bit_filter(index.shared(run)))
-    index.add(run)
-    every = batch if history is None else history.unionByName(batch)
-    found = repeats(every.select("doc", "salt", "text"), bits, width, gram)
+    scratch = Scratch(batch.sparkSession, "substring")
+    index.compact()
+    history = [index.read(name) for name in index.runs]
+    name = index.write(run_rows(batch, width, gram))
+    bits = batch.sparkSession.sparkContext.broadcast(bit_filter(shared_fingerprints(index.read(name), history)))
+    found = scratch.keep(repeats(batch.select("doc", "salt", "text"), history, bits, width, gram), "repeats")  # before a later batch replaces the runs
+    index.add(name)
     return batch.join(found, ["doc", "salt"], "left")
 
 
-def dedup(docs: DataFrame, batches: int = 2, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """doc, salt, doc_id, text and runs of all rows, taken in batches of rising ids."""
-    scratch = Scratch(docs.sparkSession, "substring")
-    index, rows = Index(scratch), prepared(docs)
-    cuts = [] if batches < 2 else rows.agg(F.percentile_approx("doc", [k / batches for k in range(1, batches)], 1000).alias("q")).first().q or []
+def dedup(docs: DataFrame, batches: int = 3, index: Index | None = None, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """doc, salt, doc_id, text and runs of all rows, taken in batches of rising ids; index: of earlier documents, else an empty one that ends with the session."""
+    spark = docs.sparkSession
+    index = index or Index(spark, f"{Scratch(spark, 'index').folder}/runs", most_runs=1)
+    docs = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    cuts = [] if batches < 2 else docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / batches for k in range(1, batches)], 1000).alias("q")).first().q or []
     out, low = None, None
     for high in [*sorted(set(cuts)), None]:
-        batch, history = rows, None
+        batch = docs
         if low is not None:
-            batch, history = batch.where(F.col("doc") > low), rows.where(F.col("doc") <= low)
+            batch = batch.where((F.col("doc_id") > low) | F.col("doc_id").isNull()) if high is None else batch.where(F.col("doc_id") > low)
         if high is not None:
-            batch = batch.where(F.col("doc") <= high)
-        done = dedup_batch(batch, history, index, width, gram)
+            batch = batch.where(F.col("doc_id") <= high)
+        done = dedup_batch(prepared(batch), index, width, gram)
         out, low = done if out is None else out.unionByName(done), high
     return out
 

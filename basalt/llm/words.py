@@ -46,15 +46,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def windows(h: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of every k consecutive words; none for fewer words."""
+def sums(h: np.ndarray, k: int) -> np.ndarray:
+    """The polynomial of every k consecutive elements, from those of 1, 2, 4 and so on."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    return mix(out)
+    power = lambda w: np.uint64(pow(0x9E3779B97F4A7C15, w, 1 << 64))
+    part, width, out, done = h.astype(np.uint64), 1, None, 0
+    while True:
+        if k & width:
+            out, done = (part, width) if out is None else (out[: len(part) - done] * power(width) + part[done : done + len(out)], done + width)
+        if 2 * width > k:
+            return out[:n]
+        part, width = part[:-width] * power(width) + part[width:], 2 * width
+
+
+def windows(h: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of every k consecutive words; none for fewer words."""
+    return mix(sums(h, k))
 
 
 def free(frame, name: str) -> str:
