@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 
 from .token_count import locate
-from .words import Memo, slices
+from .words import Memo, free, slices
 
 
 #: Rows turned into Python objects at once.
@@ -119,7 +119,11 @@ class Encoder:
 
 
 class Prefixes:
-    """A piece that grows or changes; only what follows the first changed byte is worked out again."""
+    """A piece that grows or changes; its table is worked out again from the first changed byte until it runs as before.
+
+    A prefix's last token follows from the bytes and last tokens of at most ``longest`` places before it, so after as many
+    places beyond the change that equal the old ones the rest of the table is the old one.
+    """
 
     def __init__(self, encoder: Encoder, piece: bytes = b""):
         self.encoder, self.piece = encoder, piece
@@ -129,8 +133,14 @@ class Prefixes:
         return self.edit(len(self.piece), len(self.piece), more)
 
     def edit(self, start: int, end: int, by: bytes) -> Prefixes:
+        old, shift, step = self.last, start + len(by) - end, self.encoder.longest
         self.piece = self.piece[:start] + by + self.piece[end:]
-        self.last = self.encoder.extend(self.last[:start], self.piece)
+        self.last, at = self.last[:start], start + len(by)
+        while len(self.last) < len(self.piece):
+            at += step
+            self.encoder.extend(self.last, self.piece[:at])
+            if at < len(self.piece) and self.last[at - step : at] == old[at - step - shift : at - shift]:
+                self.last += old[at - shift :]
         return self
 
     def ids(self) -> tuple[int, ...]:
@@ -205,17 +215,17 @@ class TextCodec:
 
 def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", text_column: str = "text", ids_column: str = "token_ids") -> DataFrame:
     """All columns of docs and the ids of the text; the ids replace a column of their name. One pass, no shuffle."""
-    kept = [c for c in docs.columns if c != ids_column]
+    kept, text = [c for c in docs.columns if c != ids_column], free(docs, "whole_text")
 
     def run(batches):
         codec = TextCodec(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids = pa.array(codec.encode_many(part.column("__text").to_pylist()), pa.list_(pa.int32()))
+                ids = pa.array(codec.encode_many(part.column(text).to_pylist()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), ids], [*kept, ids_column])
 
-    rows = docs.select(*(docs[f"`{c}`"] for c in kept), docs[f"`{text_column}`"].alias("__text"))
+    rows = docs.select(*(docs[f"`{c}`"] for c in kept), docs[f"`{text_column}`"].alias(text))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != ids_column)
     return rows.mapInArrow(run, f"{fields}, `{ids_column}` array<int>")
 

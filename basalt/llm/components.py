@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: So many links at most are left to one task.
+#: So many links at most are left to one task: the last step at every size, as contraction goes on until no more are left.
 TAIL = 1000
 
 

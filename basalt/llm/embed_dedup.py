@@ -250,6 +250,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, window: int = WINDO
     named = scratch.keep(named.select("space", "digest", "least", F.coalesce("component", "node").alias("component"), (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("links")), "named")
     first = scratch.keep(named.groupBy("component").agg(F.min("least").alias("component_id")), "first")
     named = scratch.keep(named.join(first, "component").select("space", "digest", "links", "component_id"), "whole")
+    scratch.keep_only("prepared", "whole")
     out = rows.select("vec_id", "space", "digest").join(named, ["space", "digest"], "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
@@ -257,3 +258,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, window: int = WINDO
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs of a label, and every chain of links: brute force, for small tables.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT vec_id, label, list_transform(x, lambda c: c / sqrt(list_inner_product(x, x))) AS x FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_inner_product(x, x) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_inner_product(a.x, b.x) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN least ON least.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""

@@ -128,8 +128,10 @@ def cleaned(docs: DataFrame, **how) -> tuple[DataFrame, str, str]:
     scratch = Scratch(docs.sparkSession, "lines")
     id_, drop, stay, n_lines, n_gone = (free(docs, c) for c in ("id", "drop", "stay", "n_lines", "n_gone"))
     gone = dropped(docs, scratch, **how).groupBy("doc_id").agg(F.collect_set("sequence").alias(drop)).withColumnRenamed("doc_id", id_)
+    gone = scratch.keep(gone, "gone")
+    scratch.keep_only("gone")
     # one plan at every size: the dropped lines grow with the documents, so they are never broadcast
-    joined = docs.join(scratch.keep(gone, "gone").hint("merge"), docs["doc_id"].cast("long") == F.col(id_), "left")
+    joined = docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col(id_), "left")
     parts = F.split(docs["text"], "\n", -1)
     left = F.filter(parts, lambda x: ~F.array_contains(drop, F.xxhash64(masked(x))) | (masked(x) == ""))
     joined = joined.withColumn(stay, F.when(F.col(drop).isNull(), parts).otherwise(left))

@@ -307,6 +307,7 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     own = classes.select("digest", "node", "least").join(found, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("component"))
     least = scratch.keep(own.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     own = scratch.keep(own.join(least, "component").select("digest", "component", "component_id"), "components")
+    scratch.keep_only("signatures", "components")
     rows = signed.select("doc_id", "said", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     return rows.join(own, "digest", "left")
 
@@ -337,3 +338,14 @@ def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=80)
 
 
+#: Every pair that shares a shingle, and every chain of links: brute force, for small tables.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS n, any_value(b.n) AS m FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM p WHERE 100 * common >= 80 * (n + m - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN least ON s.doc_id = least.doc_id
+"""

@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .scratch import Scratch
+from .words import free
 
-#: Sources up to which their table is broadcast: at most that many rows of four numbers and a name.
-MOST_BROADCAST = 20_000
 EPS = 1e-12
 
 
@@ -107,9 +106,9 @@ def mix(docs: DataFrame, seed: int = 17, fan: int = 48, **how) -> DataFrame:
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
     sizes = scratch.keep(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), size(docs["text"]).alias("size")), "sizes")
     goals = scratch.keep(targets(sizes, **how), "goals")
-    n_sources, largest = goals.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
-    side = F.broadcast(goals) if n_sources <= MOST_BROADCAST else goals  # beyond it, a shuffled join whose skewed source is split
-    rows = sizes.alias("d").join(side.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("doc_id", "size", "sid", "n", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("p"))
+    [largest] = goals.agg(F.coalesce(F.max("n"), F.lit(0))).first()
+    # a row a source: Spark broadcasts them if their file is below its threshold, else it splits the skewed source
+    rows = sizes.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("doc_id", "size", "sid", "n", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("p"))
     rows = rows.withColumn("base", F.floor(F.col("p") + EPS).cast("int")).withColumn("p", F.greatest(F.col("p") - F.col("base"), F.lit(0.0)))
     settled = (F.col("p") <= EPS) | (F.col("size") == 0)
     decided = [rows.where(settled).select("sid", "doc_id", "size", F.lit(0).alias("x"))]
@@ -131,23 +130,22 @@ def mix(docs: DataFrame, seed: int = 17, fan: int = 48, **how) -> DataFrame:
     for more in decided[1:]:
         out = out.unionByName(more)
     goals = goals.withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + EPS)).otherwise(0).cast("int"))
-    out = out.join(F.broadcast(goals) if n_sources <= MOST_BROADCAST else goals, "sid")
+    out = out.join(goals, "sid")
     return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("base") + F.col("x")).otherwise(0).cast("int").alias("copies"))
 
 
 def apply(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with all its columns."""
-    taken = mix(docs, **how).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__taken"), F.count(F.lit(1)).alias("__same"))
-    left = docs.withColumn("__size", size(docs["text"]))
-    taken = taken.withColumnsRenamed({"doc_id": "__id", "source": "__source", "size": "__n"})
-    same = left["doc_id"].cast("long").eqNullSafe(taken["__id"]) & left["source"].eqNullSafe(taken["__source"]) & (left["__size"] == taken["__n"])
-    joined = left.join(taken, same)
+    taken, same, size_, id_, source, n, copies, copy = (free(docs, c) for c in ("taken", "same", "size", "id", "of", "n", "copies", "copy"))
+    mixed = mix(docs, **how).groupBy("doc_id", "source", "size").agg(F.sum("copies"), F.count(F.lit(1))).toDF(id_, source, n, taken, same)
+    left = docs.withColumn(size_, size(docs["text"]))
+    joined = left.join(mixed, left["doc_id"].cast("long").eqNullSafe(mixed[id_]) & left["source"].eqNullSafe(mixed[source]) & (left[size_] == mixed[n]))
     # rows that no id, source and size tells apart share their copies evenly, the rest going to the first texts
-    alone = joined.where("__same = 1").withColumn("__copies", F.col("__taken"))
-    place = F.row_number().over(Window.partitionBy("__id", "__source", "__n").orderBy("text"))
-    shared = joined.where("__same > 1").withColumn("__copies", F.floor(F.col("__taken") / F.col("__same")) + (place <= F.col("__taken") % F.col("__same")).cast("int"))
-    both = alone.unionByName(shared).where("__copies > 0")
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    alone = joined.where(F.col(same) == 1).withColumn(copies, F.col(taken))
+    place = F.row_number().over(Window.partitionBy(id_, source, n).orderBy("text"))
+    shared = joined.where(F.col(same) > 1).withColumn(copies, F.floor(F.col(taken) / F.col(same)) + (place <= F.col(taken) % F.col(same)).cast("int"))
+    both = alone.unionByName(shared).where(F.col(copies) > 0)
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": chat.ORACLE}
+    return {
+        "op2_embedding_near_dedup": embed_dedup.ORACLE,
+        "op6_minhash_near_dedup": minhash.ORACLE,
+        "op7_chat_formatting": chat.ORACLE,
+        "op8_substring_dedup": substring.ORACLE,
+    }

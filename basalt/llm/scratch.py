@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Tables written once and reread, so that a lost executor repeats no finished stage.
 
-    ``drop`` removes tables that nothing reads any more; the rest goes when the driver ends.
+    ``drop`` and ``keep_only`` remove tables that nothing reads any more; the rest goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -40,11 +40,21 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _files(self, path: str):
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
+
     def drop(self, *names: str) -> None:
         try:
-            jvm = self.spark.sparkContext._jvm
             for path in [f"{self.folder}/{n}" for n in names] or [self.folder]:
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+                files, target = self._files(path)
+                files.delete(target, True)
         except Exception:  # noqa: BLE001  the session is gone; the folder's owner clears it
             return
+
+    def keep_only(self, *names: str) -> None:
+        """Removes all tables but these, which what an operator returns still reads."""
+        files, top = self._files(self.folder)
+        held = [s.getPath().getName() for s in files.listStatus(top)] if files.exists(top) else []
+        if gone := [n for n in held if n not in names]:
+            self.drop(*gone)

@@ -399,3 +399,15 @@ def digests(rows: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return digests(dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+#: All windows of 20 words as texts: brute force, for small tables.
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM w WHERE len(w) >= 20),
+windows AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s : s + 19], ' ') ORDER BY doc_id, s) AS place FROM starts),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM windows WHERE place > 1),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM w),
+kept AS (SELECT words.doc_id, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY words.i) FILTER (gone.i IS NULL) AS stay FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.i = gone.i GROUP BY words.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(stay, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""

@@ -17,6 +17,7 @@ TEXTS = [
     None, "", " \t\n", "one two", "one two", " ".join(BASE), " ".join(BASE[:-1] + ["other"]), " ".join(BASE), "x " * 80, LONG, LONG + " end",
     "ΑΣ ΟΔΟΣ naïve ﬁ 🤖🤖 é \x1c\x85 <|endoftext|>", "It's <|startoftext|> we'LL 12345", "a\nb\n\nb", " ".join(BASE[:25]) + " tail " + " ".join(BASE[30:55]),
 ]
+KEY = "a key of this test"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `__size` int, kept string"
 
 
@@ -105,17 +106,23 @@ def test_substring_dedup_equals_brute_force(docs, empty):
                 seen.add(k)
             first[i, t] = (i, len(w), sum(gone), sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest())
         want[first[i, t]] += 1
-    for batches in (1, 2, 4):
+    for batches in (1, 2, 4, 8):
         assert Count(tuple(r) for r in substring.digests(substring.dedup(docs, batches)).collect()) == want
     assert substring.dedup(empty).count() == 0
 
 
-def test_runs_are_merged(spark, docs):
-    index = substring.Index(substring.Scratch(spark, "test"), most_runs=1)
-    rows = substring.prepared(docs)
-    for low in (0, 5, 9):
-        substring.dedup_batch(rows.where(f"doc between {low} and {low + 4}"), None, index)
-    assert len(index.runs) == 1 and index.written == 5
+def test_runs_are_merged(spark, docs, tmp_path):
+    """Batches of separate jobs: each opens the folder anew; runs without a line in the manifest are not read."""
+    rows, folder, done = substring.prepared(docs), f"file://{tmp_path}/index", []
+    for n, (low, high) in enumerate(((0, 4), (5, 8), (9, substring.LAST))):
+        index = substring.Index.open(spark, folder, most_runs=1)
+        assert len(index.runs) == min(n, 2) and index.version == n
+        substring.Index.open(spark, folder).write(substring.run_rows(rows, 20, 8))  # a lost job's run
+        done.append(substring.dedup_batch(rows.where(f"doc between {low} and {high}"), index))
+    index = substring.Index.open(spark, folder, most_runs=1)
+    assert len(index.runs) == 2 and index.version == 4  # three batches and one compaction
+    got = Count(tuple(r) for d in done for r in substring.digests(d).collect())
+    assert got == Count(tuple(r) for r in substring.digests(substring.dedup(docs, 1)).collect())
 
 
 def test_vectors(spark):
@@ -266,16 +273,16 @@ def test_quality(spark, docs, empty):
 
 def test_surrogates(spark, docs, empty):
     text = "mail ann.lee9@mail5.example.com or ann.lee9@mail5.example.com, call +1 (310) 555-4510, card 4716 5225 6785 2545, host 10.0.0.255, key 24be64439e3e49cf46b2d7c90f3602a3d0b907ff. Frau Müller, Mr. John Smith."
-    [(r,)] = [(r,) for r in pii.anonymise(spark.createDataFrame([(text,)], "text string")).collect()]
+    [(r,)] = [(r,) for r in pii.anonymise(spark.createDataFrame([(text,)], "text string"), KEY).collect()]
     assert len(r["__entities"]) == 8 and not any(e in r.text for e in r["__entities"])
     words = r.text.split()
     assert words[1] == words[3].rstrip(",") and words[1].endswith(".com") and r.text.count("Frau ") == r.text.count("Mr. ") == 1 and "+1 (" in r.text
     many = spark.range(3000).selectExpr("concat('+1 (310) 555-', lpad(id, 4, '0'), ' and u', id, '@x.example.org and 10.1.', id % 256, '.', id div 256) AS text")
-    replaced = pii.anonymise(many).collect()
+    replaced = pii.anonymise(many, KEY).collect()
     assert len({e for r in replaced for e in r["__entities"]}) == 9000 and len({r.text for r in replaced}) == 3000
-    assert all(len(r.entities) < 2 for r in pii.collisions(many).collect())
-    out = pii.anonymise(docs).drop("__entities")
-    assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()}[5] == TEXTS[5] and pii.anonymise(empty).count() == 0
+    assert all(len(r.entities) < 2 for r in pii.collisions(many, KEY).collect())
+    out = pii.anonymise(docs, KEY).drop("__entities")
+    assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()}[5] == TEXTS[5] and pii.anonymise(empty, KEY).count() == 0
 
 
 def test_components(spark, monkeypatch):

@@ -41,45 +41,79 @@ def base_failed(words):
 
 
 def judged(rows):
-    """Quality: bins counted in one place, the threshold by trying every score."""
-    found = {i: quality.bins(hashes_of([w.encode() for w in split(t)], word_hashes())) for i, t, _ in rows if split(t)}
+    """Quality: bins counted in one place; the threshold lies midway between the good, each scored without its own trusted counts, and the bad."""
+    found = {i: quality.bins(hashes_of([w.encode() for w in split(t)], word_hashes())).tolist() for i, t, _ in rows if split(t)}
     good, bad = {i for i, q, x in LABELS if q and not x}, {i for i, q, _ in LABELS if not q}
     raw, trusted = Counter(), Counter()
     for i, b in found.items():
-        raw.update(b.tolist())
-        trusted.update(b.tolist() if i in good else [])
+        raw.update(b)
+        trusted.update(b if i in good else [])
     size = 1 << quality.BITS
-    ratio = lambda b: np.log((trusted[b] + 1) / (trusted.total() + size)) - np.log((raw[b] + 1) / (raw.total() + size))
-    scores = {i: float(np.mean([ratio(x) for x in b.tolist()])) for i, b in found.items()}
-    assert min(scores[i] for i in good) > max(scores[i] for i in bad) + 0.01
-    limit = (min(scores[i] for i in good) + max(scores[i] for i in bad)) / 2
-    assert all(abs(s - limit) > 0.01 for s in scores.values())
+
+    def score(b, seen):
+        return float(np.mean([np.log((seen[x] + 1) / (seen.total() + size)) - np.log((raw[x] + 1) / (raw.total() + size)) for x in b]))
+
+    held = {i: score(found[i], trusted - Counter(found[i]) if i in good else trusted) for i in good | bad}
+    low, high = max(held[i] for i in bad), min(held[i] for i in good)
+    assert high > low + 0.01
+    scores, limit = {i: score(b, trusted) for i, b in found.items()}, (low + high) / 2
+    assert all(abs(s - limit) > 0.002 for s in scores.values())  # the operator counts scores by thousandths
     return [r for r in rows if not base_failed(split(r[1])) and scores[r[0]] >= limit]
 
 
+def key(line):
+    return tuple(re.sub("[0-9]+", "0", " ".join(split(line))).split())
+
+
+def words(sequence):
+    return len(sequence) - " ".join(sequence).count("0")
+
+
+def tree(group, level):
+    """Templates of a group (sequence: lines) by the tree's rule, place by place: sequence -> template."""
+    total, size = sum(group.values()), len(next(iter(group)))
+    if level == 4 or total < 5 or len(group) < 2:
+        return {}
+    cells = [Counter() for _ in range(size)]
+    for s, n in group.items():
+        for at, token in enumerate(s):
+            cells[at][token] += n
+    fixed = {at: t for at in range(4, size) for t, n in cells[at].items() if n >= 0.8 * total}
+    has = [s for s in group if len(fixed) >= 0.8 * (size - 4) and all(s[at] == t for at, t in fixed.items())]
+    out, parts = {s: (level, tuple(sorted(group))) for s in has}, defaultdict(dict)
+    for s in set(group) - set(has):
+        shared = [(cells[at][s[at]], -at, s[at]) for at in range(4, size) if 1 < cells[at][s[at]] < total]
+        if shared:
+            parts[max(shared)][s] = group[s]
+    for part in parts.values():
+        out |= tree(part, level + 1)
+    return out
+
+
 def without_lines(rows):
-    """Templates by comparing every leaf's sequences place by place."""
-    key = lambda line: tuple(re.sub("[0-9]+", "0", " ".join(split(line))).split())
-    leaves = defaultdict(Counter)
-    for _, text, _ in rows:
-        for s in {key(x) for x in text.split("\n")} - {()}:
-            leaves[len(s), s[:4]][s] += 1
-    template = {}
-    for leaf, seen in leaves.items():
-        total, fixed = seen.total(), {}
-        for at in range(leaf[0]):
-            token, n = Counter({t: sum(c for s, c in seen.items() if s[at] == t) for t in {s[at] for s in seen}}).most_common(1)[0]
-            if n >= 0.8 * total:
-                fixed[at] = token
-        for s in seen:
-            template[s] = leaf if len(seen) > 1 and len(fixed) >= 0.8 * leaf[0] and all(s[a] == t for a, t in fixed.items()) else s
-    holders = defaultdict(set)
+    leaves, holders, own = defaultdict(Counter), defaultdict(set), {}
     for i, text, _ in rows:
-        for x in text.split("\n"):
-            if key(x):
-                holders[template[key(x)]].add(i)
-    gone = lambda i, x: bool(key(x)) and len(holders[template[key(x)]]) >= 5 and i != min(holders[template[key(x)]])
-    return [(i, "\n".join(x for x in text.split("\n") if not gone(i, x)), source) for i, text, source in rows]
+        own[i] = {key(x) for x in (text or "").split("\n")} - {()}
+        for s in own[i]:
+            leaves[len(s), s[:4]][s] += 1
+    template = {s: t for leaf in leaves.values() for s, t in tree(leaf, 0).items()}
+    for i, held in own.items():
+        for s in held:
+            holders[template.get(s, s)].add(i)
+            holders[s, "alone"].add(i)
+    total = {i: sum(map(words, held)) for i, held in own.items()}
+
+    def copy(i, j):
+        both = sum(map(words, own[i] & own[j]))
+        return 10 * both >= 9 * (total[i] + total[j] - both)
+
+    def gone(i, s):
+        among, alone = holders[template.get(s, s)], holders[s, "alone"]
+        if len(among) >= 5 and i != min(among):
+            return True
+        return words(s) >= 10 and 2 <= len(alone) < 5 and i != min(alone) and not copy(i, min(alone))
+
+    return [(i, "\n".join(x for x in text.split("\n") if not key(x) or not gone(i, key(x))), source) for i, text, source in rows]
 
 
 def representatives(rows):
