@@ -1,35 +1,42 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing and encoding, each over all rows the stage before kept."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing and encoding, each over all rows the stage before kept.
+
+Every stage reads whole texts, keeps all columns, whatever their names, and gives an empty table for an empty one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basalt.llm import bpe, line_dedup, minhash, mixing, quality
 from basalt.llm.scratch import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the log-likelihood ratio keep."""
+    """Documents that the base rules and the log-likelihood ratio keep, row by row: null and empty texts fail, rows with a null id are judged unlabelled, repeated rows stay repeated."""
     return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines whose template recurs; n_chars is kept as it was read."""
-    return line_dedup.keep(docs)
+    """Texts without lines whose template recurs, n_chars counted anew; null texts and rows with a null id stay as they are, no row goes."""
+    out = line_dedup.keep(docs)
+    if "n_chars" in out.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(out.schema["n_chars"].dataType))
+    return out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more. Rows without words or without an id are in no group; of rows of one id and text one stays."""
     return minhash.keep(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; texts without words are never taken, null sources are a source."""
     return mixing.apply(docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the ids of their texts in token_ids."""
+    """Documents with the ids of their texts in token_ids, none for a null text; a column of that name is replaced."""
     return bpe.encode(docs)
 
 
