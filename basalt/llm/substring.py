@@ -5,13 +5,13 @@ earlier: in a smaller doc_id, or in the same document further left. Windows are
 
 Fingerprints are the windows' minimisers: of the hashes of all runs of ``gram`` words in a window the smallest, leftmost
 first. Equal windows have equal minimisers, so a window whose minimiser occurs once occurs once, and one in seven words
-gives a fingerprint. The index is a folder of *runs*, sorted immutable tables with one row a distinct fingerprint and context: six bits of each word
-in the windows around it, from which the hash of every one of these windows can be worked out again. A manifest names the
+gives a fingerprint. The index is a folder of *runs*, sorted immutable tables with one row a distinct fingerprint and list of the hashes, 48 bits each, of the
+windows that share it. A manifest names the
 runs; ``Index.open`` reads it in a later job. A batch reads its own texts alone, never the history's: its run's fingerprints
 are merge-joined with those of each historical run; the fingerprints found there, and those that the batch
-has twice, are *shared*. The batch's windows of shared fingerprints and the history's, restored from contexts, meet
+has twice, are *shared*. The batch's windows of shared fingerprints and the history's meet
 in one task a fingerprint, are sorted by window hash and by document, and all but the first are repeats. Windows count as equal by 64 bits of a hash of ``gram``
-of their words and six bits of each other word (136 bits in all, the latter 72 by a 64-bit hash). Then the batch's run
+of their words and 48 bits of another hash of all their words. Then the batch's run
 joins the manifest. A batch that finds more than ``most_runs`` runs first compacts them into one.
 
 Shared fingerprints reach the tasks as a filter of 2^27 bits (16 MB, whatever the input): one that it lets through by chance
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import hashes_of, mix, sums, windows, word_hashes
+from .words import hashes_of, mix, windows, word_hashes
 
 WIDTH, GRAM = 20, 8
 FILTER_BITS = 27
@@ -45,8 +45,12 @@ ROWS = 1024
 LAST = (1 << 63) - 1
 #: The place of the history: before every document.
 PAST = -(1 << 63)
-ODD = np.uint64(0x9E3779B97F4A7C15)
-RUN = "fingerprint long, left int, context binary, n int"
+#: Bytes of a window's hash, and the bits they keep.
+BYTES = 6
+MASK = np.uint64((1 << 8 * BYTES) - 1)
+RUN = "fingerprint long, keys binary, n int"
+#: The query's batches: cuts of the documents by id, so that the third batch follows a compaction of the first two.
+CUTS = (0.125, 0.25)
 
 
 def minimisers(h: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,38 +69,15 @@ def changes(where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(where)))
 
 
-def codes(h: np.ndarray) -> np.ndarray:
-    """Six bits of each word, from 1 to 64."""
-    return (h >> np.uint64(58)).astype(np.uint8) + np.uint8(1)
+def packed(keys: np.ndarray) -> np.ndarray:
+    """The kept bytes of window hashes."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]).ravel()
 
 
-def keys(whole: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Window hashes from the polynomials of the words around the fingerprints, ``left`` of them before it."""
-    return mix(whole ^ (left.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9))
-
-
-def window_keys(c: np.ndarray, where: np.ndarray, width: int, gram: int) -> np.ndarray:
-    """The hash of each window of a text with these codes: its words but for the fingerprint's."""
-    left = where - np.arange(len(where))
-    powers = np.array([pow(int(ODD), i, 1 << 64) for i in range(width - gram + 1)], np.uint64)
-    return keys(sums(c, width) - sums(c, gram)[where] * powers[width - gram - left], left)
-
-
-def ragged(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of that many elements: the row of each element, and its place in the row."""
-    row = np.repeat(np.arange(len(size)), size)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-
-
-def restored(left: np.ndarray, contexts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all windows of contexts with that many words before the fingerprint, and the row of each."""
-    size = np.array([len(x) for x in contexts])
-    row, at = ragged(size)
-    begin = np.cumsum(size + gram) - size - gram
-    c = np.zeros(int((size + gram).sum()), np.uint8)
-    c[begin[row] + at + gram * (at >= left[row])] = np.frombuffer(b"".join(contexts), np.uint8)
-    row, at = ragged(size - (width - gram) + 1)
-    return keys(sums(c, width)[begin[row] + at], left[row] - at), row
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // BYTES, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(data, np.uint8).reshape(-1, BYTES)
+    return out.view("<u8").ravel()
 
 
 def binaries(values: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -115,32 +96,32 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 
 def run_rows(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """The rows of a batch's run: fingerprint, words before it, context and how often a slice has it (2: twice or more)."""
+    """The rows of a batch's run: fingerprint, its windows' hashes and how often a slice has them (2: twice or more)."""
 
     def run(batches):
         memo = word_hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                value, first, left, size, code, n = [], [], [], [], [], 0
+                value, size, keys = [], [], []
                 for text in batch.column("text").slice(at, ROWS).to_pylist():
                     h = hashes_of(text.encode().split(), memo)
                     v, where = minimisers(h, width, gram)
-                    if not len(v):
-                        continue
-                    start, many = changes(where)
-                    for col, x in zip((value, first, left, size, code), (v[start], n + start, where[start] - start, many + width - gram - 1, codes(h)), strict=True):
-                        col.append(x)
-                    n += len(h)
+                    if len(v):
+                        start, many = changes(where)
+                        value.append(v[start])
+                        size.append(many)
+                        keys.append(windows(h, width))
                 if not value:
                     continue
-                value, first, left, size, code = map(np.concatenate, (value, first, left, size, code))
-                row, t = ragged(size)
-                context = code[first[row] + t + gram * (t >= left[row])]
-                digest = np.add.reduceat(mix(context.astype(np.uint64) << np.uint64(32) | t.astype(np.uint64)), np.cumsum(size) - size) + left.astype(np.uint64) * ODD
-                order = np.lexsort((digest, value))
-                new = np.nonzero(np.concatenate([[True], (value[order][1:] != value[order][:-1]) | (digest[order][1:] != digest[order][:-1])]))[0]
+                value, size, keys = map(np.concatenate, (value, size, keys))
+                ends = np.cumsum(size)
+                # the first and the last window hold all words of a row, as it has no more windows than a window words
+                first, last = keys[ends - size], keys[ends - 1]
+                order = np.lexsort((size, last, first, value))
+                same = [x[order][1:] == x[order][:-1] for x in (value, first, last, size)]
+                new = np.flatnonzero(np.concatenate([[True], ~np.logical_and.reduce(same)]))
                 many, one = np.diff(np.append(new, len(order))), order[new]
-                yield pa.RecordBatch.from_arrays([pa.array(value[one].view(np.int64)), pa.array(left[one].astype(np.int32)), binaries(context, size).take(pa.array(one)), pa.array(np.minimum(many, 2).astype(np.int32))], ["fingerprint", "left", "context", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(value[one].view(np.int64)), binaries(packed(keys), size * BYTES).take(pa.array(one)), pa.array(np.minimum(many, 2).astype(np.int32))], ["fingerprint", "keys", "n"])
 
     return docs.select("text").mapInArrow(run, RUN)
 
@@ -194,7 +175,7 @@ class Index:
         merged = self.read(self.runs[0])
         for name in self.runs[1:]:
             merged = merged.unionByName(self.read(name))
-        old, one = self.runs, self.write(merged.groupBy("fingerprint", "left", "context").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n")))
+        old, one = self.runs, self.write(merged.groupBy("fingerprint", "keys").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n")))
         self._commit([one])
         for name in old:
             files, path = self._files(name)
@@ -242,7 +223,7 @@ def repeats(docs: DataFrame, history: list[DataFrame], bits, width: int, gram: i
                     one, many = changes(where)
                     start = np.flatnonzero(np.repeat(passes(found, shifted(value[one])), many))
                     if len(start):
-                        for col, x in zip(cols, (window_keys(codes(h), where, width, gram)[start].view(np.int64), value[start].view(np.int64), where[start], np.full(len(start), i), start), strict=True):
+                        for col, x in zip(cols, ((windows(h, width)[start] & MASK).view(np.int64), value[start].view(np.int64), where[start], np.full(len(start), i), start), strict=True):
                             col.append(x)
                 key, value, where, row, start = map(np.concatenate, cols)
                 if not len(key):
@@ -279,8 +260,9 @@ def repeats(docs: DataFrame, history: list[DataFrame], bits, width: int, gram: i
             some = np.nonzero(passes(found, shifted(value.view(np.uint64))))[0]
             for at in range(0, len(some), 16 * ROWS):
                 part = batch.take(pa.array(some[at : at + 16 * ROWS]))
-                key, row = restored(np.asarray(part.column("left")), part.column("context").to_pylist(), width, gram)
-                ends, zero = np.append(0, np.cumsum(np.bincount(row, minlength=part.num_rows))).astype(np.int32), np.zeros(part.num_rows, np.int32)
+                held = part.column("keys").to_pylist()
+                key, zero = unpacked(b"".join(held)), np.zeros(part.num_rows, np.int32)
+                ends = np.append(0, np.cumsum([len(x) // BYTES for x in held])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("fingerprint"), pa.array(np.full(part.num_rows, PAST)), pa.array(zero), pa.array(zero), pa.array(zero), pa.ListArray.from_arrays(pa.array(ends), pa.array(key.view(np.int64)))],
                     ["fingerprint", "doc", "salt", "start", "n", "hashes"],
@@ -364,12 +346,16 @@ def dedup_batch(batch: DataFrame, index: Index, width: int = WIDTH, gram: int =
     return batch.join(found, ["doc", "salt"], "left")
 
 
-def dedup(docs: DataFrame, batches: int = 3, index: Index | None = None, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """doc, salt, doc_id, text and runs of all rows, taken in batches of rising ids; index: of earlier documents, else an empty one that ends with the session."""
+def dedup(docs: DataFrame, batches: int | tuple[float, ...] = CUTS, index: Index | None = None, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """doc, salt, doc_id, text and runs of all rows, taken in batches of rising ids: so many of about one size, or cut at those shares of the rows.
+
+    index: of earlier documents, else an empty one that ends with the session.
+    """
     spark = docs.sparkSession
     index = index or Index(spark, f"{Scratch(spark, 'index').folder}/runs", most_runs=1)
     docs = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    cuts = [] if batches < 2 else docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / batches for k in range(1, batches)], 1000).alias("q")).first().q or []
+    shares = [k / batches for k in range(1, batches)] if isinstance(batches, int) else list(batches)
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 1000).alias("q")).first().q or [] if shares else []
     out, low = None, None
     for high in [*sorted(set(cuts)), None]:
         batch = docs

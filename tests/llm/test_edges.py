@@ -213,3 +213,13 @@ def test_pipeline_on_odd_tables(spark, tmp_path, rows):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_windows_that_differ_in_one_word_stay(spark):
+    """300 passages that are equal but for one word, at each of its places, and one exact repeat."""
+    words = [f"w{i}" for i in range(20)]
+    rows = [(i, " ".join(w if j != i % 20 else f"other{i}" for j, w in enumerate(words))) for i in range(300)]
+    rows.append((300, rows[7][1]))
+    for batches in (1, (0.3, 0.6)):
+        got = {r.doc_id: r.n_removed for r in substring.digests(substring.dedup(spark.createDataFrame(rows, "doc_id long, text string"), batches)).collect()}
+        assert {i for i, n in got.items() if n} == {300} and got[300] == 20
