@@ -35,6 +35,13 @@ class Dialect:
     def common(self, a: str, b: str) -> str:
         return f"len(list_intersect({a}, {b}))" if self.duck else f"size(array_intersect({a}, {b}))"
 
+    def one_edit(self, a: str, b: str) -> str:
+        """At most one insertion, deletion, substitution or swap of neighbours apart."""
+        if self.duck:
+            return f"damerau_levenshtein({a}, {b}) <= 1"
+        swapped = f"concat(substr({b}, 1, i - 1), substr({b}, i + 1, 1), substr({b}, i, 1), substr({b}, i + 2))"
+        return f"(levenshtein({a}, {b}) <= 1 OR length({a}) = length({b}) AND levenshtein({a}, {b}) = 2 AND exists(sequence(1, greatest(length({a}) - 1, 1)), i -> {a} = {swapped}))"
+
 
 SPARK, DUCK = Dialect(), Dialect(True)
 
@@ -93,18 +100,9 @@ def outlet_code(x: str) -> str:
     return f"coalesce({extract(x, '(?:^|[^0-9])([0-9]{6,12})(?:[^0-9]|$)')}, substr(sha1({x}), 1, 10))"
 
 
-def near_spelling(a: str, b: str, least: int = 5) -> str:
-    """Equal, or of ``least`` letters and one edit or one swap of neighbours apart.
-
-    A swap is two substitutions over texts of one length whose two letters that differ are neighbours and exchanged.
-    """
-    first = " ".join(f"WHEN substr({a}, {i}, 1) <> substr({b}, {i}, 1) THEN {i}" for i in range(1, 41))
-    at = f"(CASE {first} ELSE 0 END)"
-    swap = (
-        f"length({a}) = length({b}) AND {at} > 0 AND substr({a}, {at}, 1) = substr({b}, {at} + 1, 1) AND substr({a}, {at} + 1, 1) = substr({b}, {at}, 1)"
-        f" AND substr({a}, {at} + 2) = substr({b}, {at} + 2)"
-    )
-    return f"({a} = {b} OR least(length({a}), length({b})) >= {least} AND (levenshtein({a}, {b}) <= 1 OR {swap}))"
+def near_spelling(a: str, b: str, least: int = 5, d: Dialect = SPARK) -> str:
+    """Equal, or of ``least`` letters and one edit or one swap of neighbours apart, at any length."""
+    return f"({a} = {b} OR least(length({a}), length({b})) >= {least} AND {d.one_edit(a, b)})"
 
 
 def packaging(x: str, d: Dialect = SPARK) -> str:

@@ -25,54 +25,30 @@ _OUTCOME = "count(*) AS n, CAST(sum(CASE WHEN pred = sku THEN 1 ELSE 0 END) AS D
 
 _TEXTS: dict[str, str] = {
     # scores of runs
-    "a12_three_tier_metrics": f"WITH {_FACING} SELECT image, CAST(sum(CASE WHEN slot <= 3 AND pred = sku THEN 1 ELSE 0 END) AS BIGINT) AS confirmed, CAST(sum(CASE WHEN slot <= 3 AND (pred IS NULL OR pred <> sku) THEN 1 ELSE 0 END) AS BIGINT) AS missed, CAST(sum(CASE WHEN slot > 3 AND pred = sku THEN 1 ELSE 0 END) AS BIGINT) AS discovered, CAST(sum(CASE WHEN slot > 3 AND pred <> sku THEN 1 ELSE 0 END) AS BIGINT) AS doubtful FROM facing GROUP BY image",
-    "a13_run_level_metrics": f"WITH {_FACING}, c AS (SELECT image % 5 AS run, {_OUTCOME} FROM facing GROUP BY image % 5), s AS (SELECT run, n, {_SCORES}, tp / (tp + fp + fn) AS acc FROM c) SELECT run, n, round(p, 6) AS p, round(r, 6) AS r, round(CASE WHEN 4.0D * p + r > 0 THEN 5.0D * p * r / (4.0D * p + r) ELSE 0.0D END, 6) AS f2, round(acc, 6) AS acc FROM s",
-    "a15_bay_or_frame_score": f"WITH {_FACING}, scoped AS (SELECT * FROM facing WHERE image % 2 <> 0 OR slot BETWEEN 2 AND 5), c AS (SELECT image, {_OUTCOME} FROM scoped GROUP BY image), s AS (SELECT image, n, {_SCORES} FROM c) SELECT image, n, round(p, 6) AS p, round(r, 6) AS r FROM s",
     "a16_bootstrap_interval": f"WITH {_FACING}, v AS (SELECT brand, avg(CASE WHEN pred = sku THEN 1.0D ELSE 0.0D END) AS x FROM named GROUP BY brand), i AS (SELECT x, row_number() OVER (ORDER BY brand) - 1 AS i, count(*) OVER () AS n FROM v), draws AS (SELECT s.id AS boot, {{h}}concat('42:', CAST(s.id AS VARCHAR(20)), ':', CAST(i.i AS VARCHAR(20))){{/h}} % i.n AS pick FROM ({{seq}}) s CROSS JOIN i WHERE s.id < 500), m AS (SELECT boot, avg(i.x) AS mean FROM draws JOIN i ON pick = i.i GROUP BY boot), o AS (SELECT mean, row_number() OVER (ORDER BY mean, boot) - 1 AS place FROM m) SELECT round(max(CASE WHEN place = 12 THEN mean END), 6) AS lo, round(max(CASE WHEN place = 487 THEN mean END), 6) AS hi FROM o",
-    "a19_exact_binomial": "WITH c AS (SELECT doc_id % 20 AS part, sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS b, sum(CASE WHEN quality = 0 AND toxic = 0 THEN 1 ELSE 0 END) AS c FROM labels GROUP BY doc_id % 20), lf AS (SELECT id, sum(CASE WHEN id > 0 THEN ln(CAST(id AS DOUBLE)) ELSE 0.0D END) OVER (ORDER BY id) AS f FROM ({seq}) s), terms AS (SELECT part, b, c, exp(n.f - k.f - r.f - (b + c) * ln(2.0D)) AS p FROM c JOIN lf n ON n.id = b + c JOIN lf k ON k.id <= least(b, c) JOIN lf r ON r.id = b + c - k.id) SELECT part, CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, round(least(1.0D, 2.0D * sum(p)), 6) AS p FROM terms GROUP BY part, b, c",
-    "a20_planogram_totals": f"WITH {_FACING}, t AS (SELECT image, brand, CASE WHEN lag(brand) OVER (PARTITION BY image ORDER BY slot, sku, occ, area) = brand THEN 0 ELSE 1 END AS new FROM named), p AS (SELECT image, count(*) AS n, 1.0D - (sum(new) - count(DISTINCT brand)) / greatest(1.0D, CAST(count(*) AS DOUBLE)) AS purity FROM t GROUP BY image) SELECT image % 7 AS run, count(*) AS images, round(avg(purity), 6) AS purity, CAST(sum(n) AS BIGINT) AS facings FROM p GROUP BY image % 7",
-    "a22_pooled_scopes": f"WITH {_FACING}, s AS (SELECT 'frame' AS scope, pred, sku FROM facing UNION ALL SELECT 'bay' AS scope, pred, sku FROM facing WHERE slot BETWEEN 2 AND 5 UNION ALL SELECT 'row' AS scope, pred, sku FROM facing WHERE slot % 2 = 0) SELECT scope, {_OUTCOME} FROM s GROUP BY scope",
     "a29_run_costs": "SELECT user_id % 10 AS run, round(sum(value) * 0.000024D, 6) AS compute, round(count(*) * 0.02D / 1024.0D, 6) AS storage, round(count(*) * 0.001D, 6) AS extra FROM events GROUP BY user_id % 10",
     "a30_usage_sum": "SELECT user_id % 10 AS run, event_type AS bucket, count(*) AS calls, round(sum(value), 4) AS tokens FROM events GROUP BY user_id % 10, event_type",
     "a31_usage_normal_form": "SELECT event_id, round(greatest(value - least(value, 20.0D), 0.0D), 6) AS fresh, least(value, 20.0D) AS cached, CASE WHEN event_type IN ('click', 'view') THEN 'image' ELSE 'text' END AS modality FROM events",
     "a32_cost_estimate": "WITH p AS (SELECT * FROM (VALUES ('1-URGENT', 1.8D), ('2-HIGH', 1.0D), ('3-MEDIUM', 1.0D), ('4-NOT SPECIFIED', 0.5D), ('5-LOW', 0.5D)) AS v(tier, rate)) SELECT o_orderpriority, round(count(*) * 0.000459D * max(rate), 6) AS usd FROM orders JOIN p ON o_orderpriority = tier GROUP BY o_orderpriority",
     "a35_majority_vote": "WITH v AS (SELECT p_brand, p_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY p_brand) AS total, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_type) AS place FROM part GROUP BY p_brand, p_type) SELECT p_brand, CASE WHEN n >= 0.65D * total THEN p_type END AS winner, n FROM v WHERE place = 1",
-    "a36_allowed_backfill": f"WITH {_FACING}, s AS (SELECT image, slot, sku, CASE WHEN slot % 3 <> 0 THEN category END AS category FROM named), g AS (SELECT image, count(DISTINCT category) AS n, min(category) AS only_one FROM s GROUP BY image) SELECT s.image, slot, sku, coalesce(category, CASE WHEN n = 1 THEN only_one END) AS category FROM s JOIN g ON s.image = g.image",
     "a39_low_similarity_rate": "SELECT l_returnflag, round(avg(CASE WHEN 0.5D + 4.0D * l_discount < 0.52D THEN 1.0D ELSE 0.0D END), 6) AS low FROM lineitem GROUP BY l_returnflag",
-    "a41_join_completeness": f"WITH {_SILO}, w AS (SELECT h, count(DISTINCT silo) AS ways, count(*) AS n FROM silo GROUP BY h) SELECT ways, count(*) AS hashes, CAST(sum(n) AS BIGINT) AS n FROM w GROUP BY ways",
-    "a42_stage_deltas": f"WITH {_FACING} SELECT category, CAST(sum(CASE WHEN pred IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS escalated, CAST(sum(CASE WHEN pred IS NULL AND slot % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fixed, CAST(sum(CASE WHEN pred = sku AND slot = 7 THEN 1 ELSE 0 END) AS BIGINT) AS broken, round(avg(CASE WHEN pred IS NULL THEN 1.0D ELSE 0.0D END), 6) AS rate FROM named GROUP BY category",
-    "a43_registry_roll_up": "WITH r AS (SELECT p_brand, p_partkey, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_name) AS k, p_name FROM part) SELECT p_brand, count(*) AS skus, count(DISTINCT p_name) AS names, min(p_name) AS first_name, max(CASE WHEN k = 8 THEN p_name END) AS eighth_name FROM r GROUP BY p_brand",
-    "a45_tail_promotion": f"WITH {_FACING}, seen AS (SELECT DISTINCT sku FROM facing WHERE image % 10 < 8), tail AS (SELECT sku, min(image) AS image FROM facing WHERE sku NOT IN (SELECT sku FROM seen) GROUP BY sku) SELECT DISTINCT image FROM tail",
     "a47_hash_in_classes": f"WITH {_SILO} SELECT h, count(DISTINCT lang) AS classes, min(doc_id) AS first_id FROM silo GROUP BY h HAVING count(DISTINCT lang) > 1 OR count(DISTINCT source) > 1",
     # joins
-    "j2_twin_union": "WITH f AS (SELECT DISTINCT p_brand AS h, concat(p_name, CASE WHEN p_size % 2 = 0 THEN ' promo' ELSE '' END) AS folder, p_name FROM part), b AS (SELECT h, p_name, min(folder) AS base, max(folder) AS longest, count(*) AS n FROM f GROUP BY h, p_name) SELECT h, base, n FROM b WHERE n > 1 AND longest = concat(base, ' promo')",
-    "j3_re_encoded_link": "SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, count(*) AS n, min(o_orderkey) AS one, max(o_orderkey) AS two FROM orders GROUP BY o_custkey, CAST(o_orderdate AS DATE) HAVING count(*) BETWEEN 2 AND 3 AND count(DISTINCT o_orderstatus) = 1",
-    "j5_silo_conflicts": f"WITH {_SILO}, c AS (SELECT h, count(DISTINCT silo) AS silos, count(DISTINCT lang) > 1 AS by_lang, count(DISTINCT source) > 1 AS by_source FROM silo GROUP BY h) SELECT h, concat(CASE WHEN by_lang THEN 'lang ' ELSE '' END, CASE WHEN by_source THEN 'source' ELSE '' END) AS reasons FROM c WHERE silos > 1 AND (by_lang OR by_source)",
     "j8_best_container": f"WITH {_BOXES}, r AS (SELECT a.image, a.id, b.id AS asset, {_INTER} / {_A} AS ratio FROM box a JOIN box b ON a.image = b.image AND a.id <> b.id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2), o AS (SELECT *, row_number() OVER (PARTITION BY image, id ORDER BY round(ratio, 9) DESC, asset) AS place FROM r) SELECT image, id, asset, round(ratio, 6) AS ratio, round(ratio, 9) >= 0.70D AS inside FROM o WHERE place = 1",
     "j10_inside_bay": f"WITH {_BOXES} SELECT image, id FROM box a WHERE EXISTS (SELECT 1 FROM bay b WHERE a.image = b.image AND ({_CENTRE} OR {_INTER} >= 0.45D * {_A} OR (a.y2 BETWEEN b.y1 AND b.y2 AND {_INTER} >= 0.25D * {_A})))",
     "j11_inside_bay_two_rules": f"WITH {_BOXES} SELECT image, id FROM box a WHERE EXISTS (SELECT 1 FROM bay b WHERE a.image = b.image AND ({_CENTRE} OR {_INTER} >= 0.5D * {_A}))",
     "j12_inside_bay_by_area": f"WITH {_BOXES} SELECT image, id FROM box a WHERE EXISTS (SELECT 1 FROM bay b WHERE a.image = b.image AND {_INTER} >= 0.5D * {_A})",
     "j13_bay_scope_or_all": f"WITH {_BOXES} SELECT a.image, a.id FROM box a LEFT JOIN bay b ON a.image = b.image WHERE b.image IS NULL OR {_INTER} >= 0.5D * {_A}",
     "j18_parent_resolution": "WITH reg AS (SELECT * FROM (VALUES ('brand#1', 'One'), ('brand#2', 'Two'), ('brand#13', 'Thirteen')) AS v(name, parent)), r AS (SELECT p_partkey, parent, row_number() OVER (PARTITION BY p_partkey ORDER BY length(name) DESC, name) AS place FROM part JOIN reg ON lower(p_brand) LIKE concat(name, '%')) SELECT p.p_partkey, coalesce(r.parent, 'Independent') AS parent FROM part p LEFT JOIN r ON p.p_partkey = r.p_partkey AND r.place = 1",
-    "j20_three_sources": f"WITH {_FACING}, k AS (SELECT image, slot, min(sku) AS sku, min(pred) AS one FROM facing GROUP BY image, slot), two AS (SELECT image, slot, sku AS two FROM k WHERE slot % 2 = 0), three AS (SELECT image, slot, sku + 1 AS three FROM k WHERE slot % 3 = 0) SELECT k.image, k.slot, coalesce(one = k.sku, false) AS one_ok, coalesce(two = k.sku, false) AS two_ok, coalesce(three = k.sku, false) AS three_ok FROM k LEFT JOIN two ON k.image = two.image AND k.slot = two.slot LEFT JOIN three ON k.image = three.image AND k.slot = three.slot",
-    "j24_experiment_precedence": "WITH by_id AS (SELECT s_suppkey AS k, s_name AS name FROM supplier WHERE s_suppkey % 4 = 0), by_nation AS (SELECT s_nationkey AS k, min(s_name) AS name FROM supplier GROUP BY s_nationkey) SELECT c_custkey, coalesce(i.name, n.name, r.r_name) AS experiment FROM customer LEFT JOIN by_id i ON c_custkey = i.k LEFT JOIN by_nation n ON c_nationkey = n.k LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region r ON n_regionkey = r_regionkey",
     "j25_template_match": "WITH codes AS (SELECT * FROM (VALUES ('bolt'), ('old bolt'), ('widget'), ('gear')) AS v(code)), r AS (SELECT p_partkey, code, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN p_name = code THEN 0 ELSE 1 END, length(code) DESC, code) AS place FROM part JOIN codes ON p_name LIKE concat('%', code, '%')) SELECT p_partkey, code FROM r WHERE place = 1",
-    "j27_fuzzy_catalog": "WITH q AS (SELECT p_partkey, p_brand, p_type, p_size, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2 FROM part), c AS (SELECT a.p_partkey, b.p_partkey AS cid, CASE WHEN a.w1 = b.w1 AND a.w2 = b.w2 THEN 1.0D WHEN a.w1 = b.w1 OR a.w2 = b.w2 THEN 0.333333D ELSE 0.0D END AS jaccard, CASE WHEN a.p_size = b.p_size THEN 1 ELSE 0 END AS pack_ok, CASE WHEN a.p_type = b.p_type THEN 1 ELSE 0 END AS cat_ok FROM q a JOIN q b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY jaccard DESC, pack_ok DESC, cat_ok DESC, cid) AS place FROM c) SELECT p_partkey, cid, jaccard, jaccard = 0.0D AS catch_all FROM r WHERE place = 1",
     # geometry
     "g1_iou": f"WITH {_BOXES}, i AS (SELECT a.image, a.id AS one, b.id AS two, {_INTER} AS inter, {_A} + {_B} AS total FROM box a JOIN box b ON a.image = b.image AND a.id < b.id) SELECT image, one, two, round(CASE WHEN total - inter > 0 THEN inter / (total - inter) ELSE 0.0D END, 6) AS iou FROM i",
-    "g2_integer_containment": f"WITH {_BOXES} SELECT a.image, a.id AS one, b.id AS two, round(floor({_INTER}) / greatest(floor({_A}), 1.0D), 6) AS containment FROM box a JOIN box b ON a.image = b.image AND a.id < b.id",
     "g3_containment_of_smaller": f"WITH {_BOXES} SELECT a.image, a.id AS one, b.id AS two, round({_INTER} / greatest(least({_A}, {_B}), 1.0D), 6) AS containment FROM box a JOIN box b ON a.image = b.image AND a.id < b.id",
-    "g8_band_segments": f"WITH {_BOXES}, s AS (SELECT *, CASE WHEN x1 - lag(x2) OVER (PARTITION BY image, y1 ORDER BY x1, id) <= 30.0D THEN 0 ELSE 1 END AS new FROM box), n AS (SELECT *, sum(new) OVER (PARTITION BY image, y1 ORDER BY x1, id ROWS UNBOUNDED PRECEDING) AS seg FROM s) SELECT image, y1 AS shelf, CAST(seg AS BIGINT) AS seg, min(x1) - 5.0D AS lo, max(x2) + 5.0D AS hi, count(*) AS n FROM n GROUP BY image, y1, seg",
     "g9_box_in_band": f"WITH {_BOXES} SELECT image, id FROM box a WHERE NOT EXISTS (SELECT 1 FROM bay b WHERE a.image = b.image) OR EXISTS (SELECT 1 FROM bay b WHERE a.image = b.image AND ((a.y1 + a.y2) / 2.0D BETWEEN b.y1 AND b.y2 OR greatest(0.0D, least(a.y2, b.y2) - greatest(a.y1, b.y1)) >= 0.5D * (a.y2 - a.y1)))",
-    "g12_clutter_rules": f"WITH {_BOXES} SELECT image, id FROM box WHERE (x2 - x1) >= 22.0D AND (y2 - y1) / (x2 - x1) BETWEEN 0.5D AND 2.2D AND (x2 - x1) * (y2 - y1) <= 2000.0D",
     "g16_pixel_boxes": f"WITH {_BOXES} SELECT image, id, CAST(round(x1 / 400.0D * 1280.0D) AS BIGINT) AS px1, CAST(round(x2 / 400.0D * 1280.0D) AS BIGINT) AS px2, CAST(round(y1 / 110.0D * 720.0D) AS BIGINT) AS py1, CAST(round(y2 / 110.0D * 720.0D) AS BIGINT) AS py2 FROM box",
     "g17_padded_crops": f"WITH {_BOXES} SELECT image, id, greatest(0.0D, round(x1 - 0.05D * (x2 - x1), 4)) AS cx1, least(400.0D, round(x2 + 0.05D * (x2 - x1), 4)) AS cx2, greatest(0.0D, round(y1 - 0.05D * (y2 - y1), 4)) AS cy1, least(110.0D, round(y2 + 0.05D * (y2 - y1), 4)) AS cy2 FROM box",
-    "g20_spec_audit": f"WITH {_FACING}, s AS (SELECT image, count(*) AS n, count(DISTINCT brand) AS brands, max(CASE WHEN sku % 3 = 0 THEN 1 ELSE 0 END) AS owner, avg(CASE WHEN sku % 3 = 0 THEN 1.0D ELSE 0.0D END) AS share, min(CASE WHEN sku % 3 = 0 THEN slot END) AS first_slot FROM named GROUP BY image) SELECT image, concat(CASE WHEN n < 3 THEN 'few;' ELSE '' END, CASE WHEN brands > 5 THEN 'mixed;' ELSE '' END, CASE WHEN owner = 0 THEN 'absent;' ELSE '' END, CASE WHEN share < 0.3D THEN 'share;' ELSE '' END, CASE WHEN first_slot > 3 THEN 'place;' ELSE '' END) AS violations FROM s",
     # gates
-    "q2_domains": "SELECT p_partkey FROM part WHERE p_brand NOT LIKE 'Brand#%' OR p_size NOT BETWEEN 1 AND 50 OR p_type IS NULL OR (p_type = 'PROMO' AND p_size > 45)",
     "q7_box_bounds": f"WITH {_BOXES}, c AS (SELECT image, count(*) AS n, max(id) AS last FROM box GROUP BY image) SELECT box.image, id FROM box JOIN c ON box.image = c.image WHERE x1 < 0 OR y1 < 0 OR x2 > 250.0D OR x2 <= x1 OR y2 <= y1 OR n <> last",
-    "q8_uri_leakage": "SELECT l_partkey FROM lineitem WHERE l_orderkey % 10 < 8 INTERSECT SELECT l_partkey FROM lineitem WHERE l_orderkey % 10 = 8 INTERSECT SELECT l_partkey FROM lineitem WHERE l_orderkey % 10 = 9",
-    "q11_result_diversity": "WITH r AS (SELECT user_id % 20 AS run, count(*) AS n, count(DISTINCT round(value)) AS answers, sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS empty FROM events GROUP BY user_id % 20) SELECT run, n, answers FROM r WHERE empty > 0 OR (n >= 5 AND answers <= 3)",
     "q12_class_counts": "SELECT p_size % 3 AS split, count(*) AS n, count(*) >= 500 AS pass FROM part GROUP BY p_size % 3",
     "q15_failed_runs": "SELECT user_id % 20 AS run, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, min(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) = 1 AS all_failed FROM events GROUP BY user_id % 20 HAVING sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) > 0",
 }
@@ -87,8 +63,3 @@ def _duck(s: str) -> str:
 
 
 QUERIES = {k: (_spark(s), _duck(s)) for k, s in _TEXTS.items()}
-#: The digest of a catalog's rows in order of their key.
-QUERIES["a38_catalog_fingerprint"] = (
-    "WITH r AS (SELECT p_type, array_sort(collect_list(concat_ws('|', lpad(CAST(p_partkey AS STRING), 12, '0'), p_brand, p_name, CAST(p_size AS STRING)))) AS rows FROM part GROUP BY p_type) SELECT p_type, sha2(array_join(rows, ';'), 256) AS fingerprint FROM r",
-    "WITH r AS (SELECT p_type, list_sort(list(concat_ws('|', lpad(CAST(p_partkey AS VARCHAR), 12, '0'), p_brand, p_name, CAST(p_size AS VARCHAR)))) AS rows FROM part GROUP BY p_type) SELECT p_type, sha256(array_to_string(rows, ';')) AS fingerprint FROM r",
-)

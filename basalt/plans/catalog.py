@@ -10,26 +10,39 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.operators import geometry, matching, vectors
-from basalt.plans import audit_sql, choice_sql, label_sql, shelf_sql
+from basalt.operators import association, geometry, matching, records, shelves, stats, vectors
+from basalt.plans import audit_sql, choice_sql, label_sql, rule_sql, shelf_sql
 from basalt.sources import tables
+from basalt.streaming import runs
 
 FLAGSHIP = "a9_share_of_shelf"
-TEXTS = shelf_sql.QUERIES | label_sql.QUERIES | choice_sql.QUERIES | audit_sql.QUERIES
+TEXTS = shelf_sql.QUERIES | label_sql.QUERIES | choice_sql.QUERIES | audit_sql.QUERIES | rule_sql.QUERIES
 
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Plan text over the tables that it names."""
+    """Plan text over the tables that it names, in a session of its own, so that the caller's views stay as they are."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if own.conf.get(k, None) != v and spark.conf.isModifiable(k):
+            own.conf.set(k, v)
     for name in tables.NAMES:
         if re.search(rf"\b{name}\b", text):
-            tables.load(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(text)
+            tables.load(own, sf_dir, name).createOrReplaceTempView(name)
+    return own.sql(text)
+
+
+MODULES = (association, geometry, matching, shelves, vectors, records, stats, runs)
 
 
 def queries() -> dict:
     out = {name: (lambda spark, d, s=spark_text: run_sql(spark, d, s)) for name, (spark_text, _) in TEXTS.items()}
-    return out | geometry.QUERIES | matching.QUERIES | vectors.QUERIES
+    for module in MODULES:
+        out |= module.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle or spark_text for name, (spark_text, oracle) in TEXTS.items()} | vectors.ORACLES
+    out = {name: oracle or spark_text for name, (spark_text, oracle) in TEXTS.items()}
+    for module in MODULES:
+        out |= module.ORACLES
+    return out

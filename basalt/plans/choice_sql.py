@@ -37,13 +37,7 @@ _ROWS = f"{_FACING}, spots AS (SELECT image, slot % 2 AS shelf, sku, brand, cate
 
 _TEXTS: dict[str, str] = {
     # association
-    "a24_occurrence_vectors": f"WITH {_LEVELS} SELECT level, item, outlet, n FROM occ",
-    "a27_level_weights": "SELECT 'w1' AS name, round(0.6887D * 0.4625D, 6) AS w UNION ALL SELECT 'w4' AS name, 0.6887D AS w UNION ALL SELECT 'w5' AS name, 0.4625D AS w",
-    "v3_level_similarity": f"WITH {_LEVELS} SELECT level, one, two, round(CASE WHEN one = 'Brand#1' OR two = 'Brand#1' THEN 0.0D ELSE sim END, 6) AS sim FROM sims",
-    "v4_association_score": f"WITH {_LEVELS}, items AS (SELECT DISTINCT category, brand FROM named), pairs AS (SELECT a.category AS c1, a.brand AS b1, b.category AS c2, b.brand AS b2 FROM items a JOIN items b ON a.category = b.category AND a.brand < b.brand), scored AS (SELECT p.*, coalesce(x.sim, 0.0D) AS sx, coalesce(y.sim, 0.0D) AS sy FROM pairs p LEFT JOIN sims x ON x.level = 1 AND x.one = c1 AND x.two = c2 LEFT JOIN sims y ON y.level = 2 AND y.one = b1 AND y.two = b2) SELECT c1 AS category, b1 AS one, b2 AS two, round((0.3185D * sx + 0.6887D * sy) / (0.3185D + 0.6887D), 4) AS score FROM scored",
-    "a26_scenario_summary": f"WITH {_LEVELS}, kept AS (SELECT * FROM named WHERE pred IS NOT NULL) SELECT (SELECT count(*) FROM kept) AS kept, (SELECT count(*) FROM named WHERE pred IS NULL) AS dropped, (SELECT count(DISTINCT brand) FROM kept) AS brands, (SELECT round(avg(w), 6) FROM lv) AS mean_weight, (SELECT round(avg(sim), 6) FROM sims WHERE sim > 0) AS mean_nonzero, (SELECT count(*) FROM sims) AS pairs",
     # vectors
-    "v9_population_compare": "WITH c AS (SELECT label, avg(CAST(embedding[1] AS DOUBLE)) AS x, avg(CAST(embedding[2] AS DOUBLE)) AS y, avg(CAST(embedding[3] AS DOUBLE)) AS z, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label) SELECT a.label AS one, b.label AS two, round((a.x * b.x + a.y * b.y + a.z * b.z) / (sqrt(a.x * a.x + a.y * a.y + a.z * a.z) * sqrt(b.x * b.x + b.y * b.y + b.z * b.z)), 6) AS cos, a.n + b.n AS n FROM c a JOIN c b ON a.label < b.label",
     # posteriors, votes and gates over shortlists
     "v11_energy": f"WITH {_SHORT} SELECT crop, r, round(0.78D * (s - 0.5D * 0.1D) + 0.22D * s2 + 0.035D * (qty / 50.0D - 0.5D), 6) AS energy FROM short",
     "v13_entropy_confidence": f"WITH {_SHORT} SELECT crop, round(conf, 6) AS conf FROM stat",
@@ -64,27 +58,14 @@ _TEXTS: dict[str, str] = {
     "v29_lidstone_posterior": f"WITH {_SHORT} SELECT crop, category, round((sum(e) + 0.5D) / (max(total) + 0.5D * 6.0D), 6) AS p FROM (SELECT *, sum(e) OVER (PARTITION BY crop) AS total FROM short) t GROUP BY crop, category",
     "v30_brand_gate": f"WITH {_SHORT}, b AS (SELECT crop, brand, max(s) AS best, rank() OVER (PARTITION BY crop ORDER BY max(s) DESC) AS place FROM short GROUP BY crop, brand) SELECT DISTINCT short.crop, sku FROM short JOIN b ON short.crop = b.crop AND short.brand = b.brand WHERE b.place <= 2 OR r <= 2",
     "v31_cohort_scope": f"WITH {_SHORT}, scoped AS (SELECT crop, r, sku FROM short WHERE category IN ('ECONOMY', 'PROMO')), covered AS (SELECT DISTINCT crop FROM scoped) SELECT crop, r, sku FROM scoped UNION ALL SELECT s.crop, r, sku FROM short s LEFT JOIN covered c ON s.crop = c.crop WHERE c.crop IS NULL",
-    "v32_fast_gates": f"WITH {_SHORT}, {_LID} SELECT stat.crop, round(p1 + CASE WHEN brand1 = brand2 THEN 0.09D ELSE 0.0D END, 6) >= 0.55D OR (round(margin, 6) >= 0.025D AND round(p1, 6) >= 0.30D AND round(z, 6) >= 1.05D) OR (round(margin, 6) >= 0.02D AND round(z, 6) >= 0.8D AND round(lid, 6) <= 9.5D) AS pass FROM stat JOIN lid ON stat.crop = lid.crop",
     "v33_zero_model_rank": f"WITH {_SHORT}, x AS (SELECT crop, sku, r, round(0.78D * s + 0.22D * s2, 6) AS energy FROM short) SELECT crop, sku, energy, CAST(row_number() OVER (PARTITION BY crop ORDER BY energy DESC, r) AS BIGINT) AS place FROM x",
     "v34_cross_modal_rank": f"WITH {_SHORT}, x AS (SELECT crop, sku, r, 0.55D * s + 0.30D * s2 + 0.15D * avg(s) OVER (PARTITION BY crop, brand) AS m FROM short) SELECT crop, sku, r, round(exp((m - 0.9D) / 0.05D) / (sum(exp((m - 0.9D) / 0.05D)) OVER (PARTITION BY crop) + {DUSTBIN}), 6) AS p FROM x",
-    "v35_cold_start": f"WITH {_SHORT}, {_LID}, n AS (SELECT stat.crop, s1, round(s1, 6) < 0.78D OR (round(lid, 6) > 9.5D AND round(z, 6) < 1.25D) AS novel FROM stat JOIN lid ON stat.crop = lid.crop) SELECT crop, novel, round(CASE WHEN novel THEN greatest(s1 + 0.015D, least(0.95D, 1.18D * 0.7D)) ELSE s1 END, 6) AS top FROM n",
-    "v37_colour_similarity": "SELECT a.p_partkey, round(exp(-sqrt(CAST((a.p_size - b.p_size) * (a.p_size - b.p_size) AS DOUBLE) + (a.p_retailprice - b.p_retailprice) * (a.p_retailprice - b.p_retailprice)) / 36.0D), 6) AS sim FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1",
-    "v38_triplets": "WITH d AS (SELECT p_partkey, p_brand, p_type, lead(p_partkey) OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS pos FROM part), n AS (SELECT p_partkey, p_brand, p_type, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS i FROM part), neg AS (SELECT d.p_partkey, min(n.p_partkey) AS neg FROM d JOIN n ON d.p_brand = n.p_brand AND d.p_type <> n.p_type AND n.i = 1 GROUP BY d.p_partkey) SELECT d.p_partkey AS anchor, pos, neg FROM d JOIN neg ON d.p_partkey = neg.p_partkey WHERE pos IS NOT NULL",
     # ordered
     "w2_top_k_before_rank": "WITH r AS (SELECT p_partkey, p_type, rank() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC) AS place FROM part WHERE p_size > 10) SELECT p_partkey, p_type, CAST(place AS BIGINT) AS place FROM r WHERE place <= 20",
-    "w6_vertical_alignment": f"WITH {_ROWS}, b AS (SELECT image, shelf, brand, min(x1) AS lo, max(x2) AS hi FROM spots GROUP BY image, shelf, brand), j AS (SELECT a.image, a.brand, greatest(0.0D, least(a.hi, b.hi) - greatest(a.lo, b.lo)) / greatest(least(a.hi - a.lo, b.hi - b.lo), 1.0D) AS share FROM b a JOIN b ON a.image = b.image AND a.brand = b.brand AND b.shelf = a.shelf + 1) SELECT image, count(*) AS shared, round(avg(CASE WHEN share >= 0.30D THEN 1.0D ELSE 0.0D END), 6) AS alignment FROM j GROUP BY image",
     "w9_row_majority": f"WITH {_ROWS}, c AS (SELECT image, shelf, category, count(*) AS n, sum(count(*)) OVER (PARTITION BY image, shelf) AS total FROM spots GROUP BY image, shelf, category) SELECT image, shelf, category FROM c WHERE total >= 3 AND n >= 0.65D * total",
     "w10_border_facings": f"WITH {_ROWS}, m AS (SELECT *, max(x2) OVER (PARTITION BY image) AS width FROM spots) SELECT image, CAST(sum(CASE WHEN (x1 + x2) / 2.0D < 0.12D * width OR (x1 + x2) / 2.0D > 0.88D * width THEN 1 ELSE 0 END) AS BIGINT) AS border FROM m GROUP BY image",
-    "w13_outlet_split": "WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), r AS (SELECT o_custkey, row_number() OVER (ORDER BY n DESC, sha1(CAST(o_custkey AS VARCHAR(20)))) - 1 AS i FROM o) SELECT o_custkey, CASE i % 10 WHEN 0 THEN 'val' WHEN 5 THEN 'test' ELSE 'train' END AS split FROM r",
     # top-k
     "k2_head_re_sort": f"WITH {_SHORT} SELECT crop, sku, r, CAST(row_number() OVER (PARTITION BY crop ORDER BY CASE WHEN r <= 4 THEN 0 ELSE 1 END, CASE WHEN r <= 4 THEN -s2 ELSE 0.0D END, r) AS BIGINT) AS place FROM short",
-    "k3_candidate_sort": "WITH c AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS skus, count(*) AS n FROM lineitem GROUP BY l_orderkey), r AS (SELECT *, CAST(row_number() OVER (ORDER BY skus DESC, n DESC, l_orderkey) AS BIGINT) AS place FROM c) SELECT * FROM r WHERE place <= 100",
     "k4_strided_gallery": "WITH r AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS i FROM part) SELECT p_partkey, p_type FROM r WHERE i % 3 = 0 AND i < 30",
-    "k6_stratified_interleave": "WITH r AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_name, p_partkey) AS turn FROM part) SELECT p_partkey, p_type, CAST(row_number() OVER (ORDER BY turn, p_type) AS BIGINT) AS place FROM r",
-    "k7_gallery_cap": "WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS turn FROM part), o AS (SELECT *, row_number() OVER (ORDER BY turn, p_brand) AS place FROM r) SELECT p_partkey, p_brand FROM o WHERE place <= 150",
-    "k9_extended_split": "WITH base AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 10 = 9), more AS (SELECT o.o_orderkey, o.o_custkey, o.o_orderpriority FROM orders o WHERE o_orderkey % 10 = 5 AND NOT EXISTS (SELECT 1 FROM orders t WHERE t.o_custkey = o.o_custkey AND t.o_orderkey % 10 < 3)), u AS (SELECT * FROM base UNION ALL SELECT * FROM more), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS turn FROM u) SELECT o_orderkey, CAST(row_number() OVER (ORDER BY turn, o_orderpriority) AS BIGINT) AS place FROM r",
-    "k11_prefer_originals": "WITH r AS (SELECT doc_id, md5(text) AS h, row_number() OVER (PARTITION BY md5(text) ORDER BY CASE WHEN source IS NULL THEN 1 ELSE 0 END, doc_id) AS place FROM documents) SELECT doc_id, h FROM r WHERE place = 1",
 }
 QUERIES = {k: (s, portable(s)) for k, s in _TEXTS.items()}
-#: Spark counts array places from 0.
-QUERIES["v9_population_compare"] = (_TEXTS["v9_population_compare"].replace("[1]", "[0]").replace("[2]", "[1]").replace("[3]", "[2]"), QUERIES["v9_population_compare"][1])

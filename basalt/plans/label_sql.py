@@ -35,7 +35,7 @@ def texts(d: t.Dialect) -> dict[str, str]:
         "t9_outlet_code": f"WITH f AS (SELECT o_orderkey, concat('visit-', CAST(o_custkey * 977 AS VARCHAR(20)), '-', CAST(o_orderkey AS VARCHAR(20))) AS f FROM orders) SELECT o_orderkey, {t.outlet_code('f')} AS outlet FROM f",
         "t12_category_normalise": "SELECT p_partkey, CASE lower(trim(p_type)) WHEN 'economy' THEN 'Home' WHEN 'promo' THEN 'Beauty' ELSE 'Foods' END AS category FROM part",
         "t13_default_category": "WITH n AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY p_brand, p_type), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS place FROM n) SELECT p_brand, p_type AS category FROM r WHERE place = 1",
-        "t14_near_spelling": f"WITH s AS (SELECT p_partkey, p_name AS a, CASE p_partkey % 3 WHEN 0 THEN {swapped} WHEN 1 THEN concat(p_name, 's') ELSE concat(p_name, 'xx') END AS b FROM part) SELECT p_partkey, {t.near_spelling('a', 'b')} AS near FROM s",
+        "t14_near_spelling": f"WITH s AS (SELECT p_partkey, p_name AS a, CASE p_partkey % 3 WHEN 0 THEN {swapped} WHEN 1 THEN concat(p_name, 's') ELSE concat(p_name, 'xx') END AS b FROM part) SELECT p_partkey, {t.near_spelling('a', 'b', d=d)} AS near FROM s",
         "t15_packaging": f"WITH s AS (SELECT p_partkey, {pack} AS s FROM part) SELECT p_partkey, {t.packaging('s', d)} AS packaging FROM s",
         "t16_pack_folder": f"WITH s AS (SELECT p_partkey, concat(p_brand, '__', {pack}) AS s FROM part) SELECT p_partkey, split_part(s, '__', 1) AS brand, split_part(s, '__', 2) AS rest, {t.packaging('s', d)} AS packaging FROM s",
         "t17_valid_category_pack": f"WITH s AS (SELECT p_partkey, p_type, {t.packaging(pack, d)} AS kind FROM part), n AS (SELECT p_type, kind, count(*) AS n FROM s GROUP BY p_type, kind), best AS (SELECT p_type, kind, row_number() OVER (PARTITION BY p_type ORDER BY n DESC, kind) AS place FROM n WHERE kind <> 'other') SELECT p_partkey, CASE WHEN s.kind <> 'other' THEN s.kind ELSE best.kind END AS kind FROM s LEFT JOIN best ON s.p_type = best.p_type AND best.place = 1",
@@ -61,11 +61,6 @@ def texts(d: t.Dialect) -> dict[str, str]:
         # predicates
         "p1_flat_row": "SELECT p_partkey AS id, coalesce(nullif(trim(p_brand), ''), 'Unbranded') AS brand, coalesce(CAST(p_size AS DOUBLE), 0.0D) AS size_g, coalesce(p_type, 'Uncategorized') AS category FROM part",
         "p2_copy_names": f"WITH f AS (SELECT l_orderkey, l_linenumber, {crop} AS f FROM lineitem) SELECT l_orderkey, l_linenumber FROM f WHERE NOT {d.has('f', '-copy|_aug[0-9]*')}",
-        "p6_label_validity": f"SELECT p_partkey FROM part WHERE p_brand IS NOT NULL AND p_type IN (SELECT p_type FROM part GROUP BY p_type HAVING count(*) >= 5) AND NOT {d.has('lower(p_name)', '^(unknown|other)')}",
-        "p7_extended_eligibility": "SELECT o_orderkey FROM orders o WHERE o_orderkey % 10 = 9 AND NOT EXISTS (SELECT 1 FROM orders t WHERE t.o_custkey = o.o_custkey AND t.o_orderkey % 10 < 3) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o.o_orderkey AND l_linenumber = 7)",
-        "p8_category_scope": f"WITH {_FACING}, scope AS (SELECT DISTINCT image, category FROM named WHERE slot <= 2) SELECT n.image, n.slot, n.sku, n.pred FROM named n LEFT JOIN scope s ON n.image = s.image AND n.pred_category = s.category WHERE n.pred_category IS NULL OR s.category IS NOT NULL",
-        "p9_placeholder_brands": f"WITH {_FACING} SELECT brand, count(*) AS n FROM named WHERE brand NOT IN ('Brand#1', 'Brand#2') GROUP BY brand",
-        "p13_error_ladder": f"SELECT event_id, CASE WHEN event_type <> 'error' THEN 'none' WHEN value > 150 THEN 'timeout' WHEN {d.has('props', '[02468][}]$')} THEN 'quota' ELSE 'runtime' END AS kind FROM events",
         "p16_clamped_confidence": "SELECT event_id, greatest(0.0D, least(1.0D, value / 100.0D)) AS confidence FROM events",
     }
 
