@@ -41,8 +41,8 @@ class Encoder:
         self.ranks = ranks
         self.bytes = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.parts = Memo(self.parted, 1_000_000)
-        self.follows = Memo(self.may_follow, 1_000_000)
+        self.parts = Memo(self.parted, 400_000)
+        self.follows = Memo(self.may_follow, 400_000)
 
     def parted(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one: of all cuts, the one whose sides are whole tokens that may follow each other below this rank."""
@@ -185,7 +185,7 @@ class TextCodec:
     """Whole texts to ids and back; a worker encodes each distinct piece once, as long as its memory of pieces lasts."""
 
     #: Pieces remembered, and characters of text whose new pieces are encoded together.
-    PIECES, TOGETHER = 600_000, 4_000_000
+    PIECES, TOGETHER = 400_000, 2_000_000
 
     def __init__(self, vocabulary: str):
         self.encoder, self.splitter, self.pieces = Encoder(read_ranks(locate(vocabulary))), Splitter(), {}
