@@ -186,7 +186,9 @@ def query(spark, sf_dir: str) -> DataFrame:
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
     rows = rows.unionByName(more).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     role, text = F.col("role"), F.col("text")
-    records = rows.select("conv_id", "turn", carried(role, text).alias("long"), F.to_json(F.struct(short(role).alias("role"), short(text).alias("text"))).alias("json"))
+    # turns come in two layouts, told apart by their fingerprints alone
+    one, two = (F.to_json(F.struct(short(role).alias("role"), short(text).alias(field))) for field in ("text", "content"))
+    records = rows.select("conv_id", "turn", carried(role, text).alias("long"), F.when(F.col("turn") % 2 == 0, one).otherwise(two).alias("json"))
     return digests(format_turns(canonical(records, strict=True)))
 
 
