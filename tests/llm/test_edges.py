@@ -223,3 +223,19 @@ def test_windows_that_differ_in_one_word_stay(spark):
     for batches in (1, (0.3, 0.6)):
         got = {r.doc_id: r.n_removed for r in substring.digests(substring.dedup(spark.createDataFrame(rows, "doc_id long, text string"), batches)).collect()}
         assert {i for i, n in got.items() if n} == {300} and got[300] == 20
+
+
+def test_chat_on_odd_tables(spark, tmp_path):
+    """No conversation at all; repeated rows are turns of their own; null ids, roles and texts."""
+    from hashlib import sha256
+
+    from basalt.llm import chat
+
+    schema = "conv_id long, turn long, role string, text string, formatted string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/a/conversations.parquet")
+    assert [(r.conv_id, r.n_turns) for r in chat.query(spark, f"{tmp_path}/a").collect()] == [(-1, 2)]
+    rows = [(1, 0, "user", "q", "x"), (1, 0, "user", "q", "y"), (1, 1, "assistant", None, "z"), (None, 5, None, "n", "z")]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/b/conversations.parquet")
+    got = {r.conv_id: r for r in chat.query(spark, f"{tmp_path}/b").collect()}
+    assert {c: r.n_turns for c, r in got.items()} == {-1: 2, 1: 3, None: 1} and got[1].loss_chars == 0
+    assert got[1].turns_sha256 == sha256(b"user\nq\nuser\nq\nassistant\n\n").hexdigest() and got[None].turns_sha256 == sha256(b"\nn\n").hexdigest()
