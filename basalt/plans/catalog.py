@@ -20,15 +20,19 @@ TEXTS = shelf_sql.QUERIES | label_sql.QUERIES | choice_sql.QUERIES | audit_sql.Q
 
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Plan text over the tables that it names, in a session of its own, so that the caller's views stay as they are."""
-    own = spark.newSession()
-    for k, v in spark.conf.getAll.items():
-        if own.conf.get(k, None) != v and spark.conf.isModifiable(k):
-            own.conf.set(k, v)
-    for name in tables.NAMES:
-        if re.search(rf"\b{name}\b", text):
-            tables.load(own, sf_dir, name).createOrReplaceTempView(name)
-    return own.sql(text)
+    """Plan text over the tables that it names. Names are bound while the text is analysed only: the caller's views of these names are put back."""
+    names = [n for n in tables.NAMES if re.search(rf"\b{n}\b", text)]
+    temporary = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    held = {n: spark.table(n) for n in names if n in temporary}
+    try:
+        for n in names:
+            tables.load(spark, sf_dir, n).createOrReplaceTempView(n)
+        return spark.sql(text)
+    finally:
+        for n in names:
+            spark.catalog.dropTempView(n)
+        for n, view in held.items():
+            view.createOrReplaceTempView(n)
 
 
 MODULES = (association, geometry, matching, shelves, vectors, records, stats, runs)

@@ -68,6 +68,16 @@ def test_queries_equal_their_sql(spark):
     assert not wrong
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
+def test_the_callers_views_stay(spark):
+    spark.range(3).createOrReplaceTempView("part")
+    names = ("a11_parent_share_in_category", "a9_share_of_shelf")
+    frames = [catalog.queries()[n](spark, SF) for n in names]
+    assert spark.table("part").count() == 3 and not spark.catalog.tableExists("lineitem")
+    assert all(f.count() > 3 for f in frames[:1]) and frames[1].count() > 0
+    spark.catalog.dropTempView("part")
+
+
 def test_compare_populations(spark):
     import numpy as np
 

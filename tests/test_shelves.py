@@ -220,3 +220,29 @@ def test_records(spark):
         records.evaluated_fields(" , ")
     splits = spark.createDataFrame([("u", "train"), ("u", "test"), ("w", "val"), ("w", "val"), (None, "train"), (None, "val")], "uri string, split string")
     assert [tuple(r) for r in records.leaks(splits).collect()] == [("train", "test", 1)]
+
+
+def test_scores_by_scope_and_run(spark):
+    truth, said = boxes(spark, [(0, 0, 20, 50), (300, 0, 320, 50)]), boxes(spark, [(0, 0, 20, 50), (200, 0, 220, 50)])
+    bays = spark.createDataFrame([(1, 0, 0.0, 0.0, 100.0, 100.0)], "image long, bay int, x1 double, y1 double, x2 double, y2 double")
+    score = lambda b: tuple(shelves.bay_or_frame(said, truth, b).select("tp", "fp", "fn").first())
+    assert score(bays) == (1, 0, 0) and score(bays.where("image = 2")) == (1, 1, 1)
+    got = {r.scope: (r.tp, r.fp, r.fn) for r in shelves.pooled(said, truth, {"all": F.lit(True), "left": F.col("x1") < 100, "none": F.lit(False)}).collect()}
+    assert got == {"all": (1, 1, 1), "left": (1, 0, 0), "none": (0, 0, 0)}
+    tiers = spark.createDataFrame([(1, 4, 3, 5, 4, 1, 2, 1, 0, 0, 0), (3, 1, 0, 0, 0, 3, 0, 0, 2, 1, 1)], "image long, named long, named_hits long, in_band long, band_hits long, band_misses long, others long, upgraded long, extra long, extra_products long, extra_brands long")
+    [r] = shelves.run_scores(tiers, F.col("image") % 2).collect()
+    assert (r.images, r.tp, r.fp, r.fn, r.precision, r.recall, r.named_accuracy, r.upgraded_share, r.extra) == (2, 4, 1, 4, 0.8, 0.5, 0.6, 0.5, 2)
+
+
+def test_triplets_sisters_and_digests(spark):
+    from hashlib import sha256
+
+    items = spark.createDataFrame([(1, "a", 1, 1, "x", 1), (2, "a", 1, 2, "x", 1), (3, "a", 2, 3, "x", 1), (4, "b", 1, 4, "x", 1), (5, "c", 9, 5, "y", 2)], "id long, class string, session int, hash int, brand string, pack int")
+    got = {r.anchor: (r.positive, r.negative) for r in records.triplets(items).collect()}
+    assert got == {1: (3, 4), 2: (3, 4), 3: (1, 4)}  # b and c have one item each
+    catalog = spark.createDataFrame([(1, "x", "v", "Save 10"), (2, "x", "v", None), (3, "x", "w", None)], "id long, brand string, base string, promo string")
+    assert {r.id: r.sister for r in records.sisters(catalog, F.lit("SAVE-10")).collect()} == {1: 1, 2: 1, 3: 3}
+    rows = spark.createDataFrame([("s", "b"), ("s", "a"), ("t", "ü"), ("s", None)], "split string, uri string").repartition(3)
+    assert {r.split: (r.digest, r.n) for r in records.set_digests(rows, "split", "uri").collect()} == {"s": (sha256(b"a\nb").hexdigest(), 2), "t": (sha256("ü".encode()).hexdigest(), 1)}
+    folders = spark.createDataFrame([("h", "soap"), ("h", "soap promo"), ("h", "soap promo xl"), ("k", "soap"), ("k", "soapy"), ("m", "one")], "h string, folder string")
+    assert [tuple(r) for r in records.twin_unions(folders, " promo| xl").collect()] == [("h", "soap", 3)]
