@@ -178,13 +178,17 @@ def test_surrogates_against_brute_force(spark):
     for old, new in zip(original, found, strict=True):
         assert new[0] == new[3] and new[1] == new[4] == new[5] and luhn(new[2]) and new[2][0] == "4"
         for k, (x, y) in enumerate(zip(old, new, strict=True)):
-            seen["mail" if k == 7 else k, x].add(y)
+            if k != 6:  # the same local part at another domain is another address
+                seen["mail" if k == 7 else k, x].add(y)
         assert not {*new[:6], *new[8:], f"{new[6]}@{new[7]}"} & real
     assert all(len(v) == 1 for v in seen.values())  # one surrogate an entity
     for k in (1, 2, 8, 9, "mail"):
         given = [next(iter(v)) for (kind, _), v in seen.items() if kind == k]
         assert len(set(given)) == len(given)  # of its own
-    assert len({(n[6], n[7]) for n in found}) == len({(o[6], o[7]) for o in original})
+    address = defaultdict(set)
+    for old, new in zip(original, found, strict=True):
+        address[old[6:8]].add(new[6:8])
+    assert all(len(v) == 1 for v in address.values()) and len({next(iter(v)) for v in address.values()}) == len(address)
     iban, name, again = re.fullmatch(r"Account (DE[\d ]{25}) of г-жа \S+ (\S+); (\S+) signed\.", texts[400]).groups()
     moved = iban.replace(" ", "")[4:] + iban.replace(" ", "")[:4]
     assert int("".join(str(int(c, 36)) for c in moved)) % 97 == 1 and iban != "DE89 3704 0044 0532 0130 00"
