@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.sources import tables
+from basalt.sources.shared import written
 
 from .geometry import bands as annotated_bands
 from .geometry import by_group, demo_bays, demo_boxes, inside_bay, planks, ratio
@@ -67,7 +68,7 @@ def evaluate(boxes: DataFrame, bounds: DataFrame | None = None, factor: float =
 
     boxes: image, scope (a number), id, coordinates, brand, owner. bounds: of the scopes whose edges are walls.
     """
-    return evaluate_rows(placed(boxes), bounds, factor)
+    return evaluate_rows(written(placed(boxes), "placed"), bounds, factor)  # placed once, read by every score
 
 
 def evaluate_rows(rows: DataFrame, bounds: DataFrame | None = None, factor: float = 1.5) -> DataFrame:
@@ -124,7 +125,7 @@ def planogram(boxes: DataFrame, bays: DataFrame, factor: float = 1.5) -> DataFra
 
     With several bays, voids are the sum over bays, each within its own walls, and the empty share their mean.
     """
-    every = scoped(boxes, bays)
+    every = written(scoped(boxes, bays), "scoped")
     count = bays.groupBy("image").agg(F.count(F.lit(1)).alias("bays"), F.min("x1").alias("lo"), F.max("x2").alias("hi"))
     one = count.where("bays = 1").select("image", F.lit(BAYS).alias("scope"), "lo", "hi")
     walls = bays.select("image", F.col("bay").cast("int").alias("scope"), F.col("x1").alias("lo"), F.col("x2").alias("hi")).unionByName(one)
