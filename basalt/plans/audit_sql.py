@@ -55,6 +55,8 @@ _TEXTS: dict[str, str] = {
 
 
 def _spark(s: str) -> str:
+    # BETWEEN names its operand once: in a correlated subquery Spark then joins all distinct boxes with all bays before the image
+    s = re.sub(r"(\(a\.\w+ \+ a\.\w+\) / 2\.0D|a\.y2) BETWEEN (b\.\w+) AND (b\.\w+)", r"(\1 >= \2 AND \1 <= \3)", s)
     return re.sub(r"\{h\}(.*?)\{/h\}", r"CAST(conv(substr(md5(\1), 1, 8), 16, 10) AS BIGINT)", s).replace("{seq}", "SELECT id FROM range(0, 10000)")
 
 

@@ -102,3 +102,9 @@ def test_compare_populations(spark):
         assert r.shared_vectors == len({w.tobytes() for _, w in sides[a]} & {w.tobytes() for _, w in sides[b]})
     assert sum(r.shared_vectors for r in got.values()) == 2 and vectors.compare_populations(frame.limit(0)).count() == 0
     assert queries()["v9_population_compare"] is vectors.QUERIES["v9_population_compare"]
+
+
+@pytest.mark.parametrize("name", ["j10_inside_bay"])
+def test_boxes_meet_bays_of_their_image_alone(spark, name):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
