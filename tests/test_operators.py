@@ -104,7 +104,7 @@ def test_compare_populations(spark):
     assert queries()["v9_population_compare"] is vectors.QUERIES["v9_population_compare"]
 
 
-@pytest.mark.parametrize("name", ["j10_inside_bay"])
+@pytest.mark.parametrize("name", ["j10_inside_bay", "j11_inside_bay_two_rules", "g9_box_in_band"])
 def test_boxes_meet_bays_of_their_image_alone(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
