@@ -21,7 +21,8 @@ _ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string
 def by_group(df: DataFrame, by: list[str], run, schema: str) -> DataFrame:
     """run(list of rows) for each group of the columns ``by``, giving tuples of schema; many groups share one call into Python.
 
-    Rows come sorted by the columns; a task holds one Arrow batch and one group.
+    Rows come sorted by the columns; a task holds one Arrow batch and one group. A window brings them together, so that rows which
+    already are dealt by the columns (after a window or a join) stay where they are.
     """
     names, fields = df.columns, [f.split() for f in schema.split(", ")]
     places = [names.index(c) for c in by]
@@ -43,7 +44,8 @@ def by_group(df: DataFrame, by: list[str], run, schema: str) -> DataFrame:
             yield built(found)
         yield built(list(run(held)) if held else [])
 
-    return df.repartition(*by).sortWithinPartitions(*by).mapInArrow(task, schema)
+    dealt = Window.partitionBy(*by).orderBy(*by)
+    return df.withColumn("by__group", F.row_number().over(dealt)).mapInArrow(task, schema)
 
 
 def by_image(df: DataFrame, run, schema: str) -> DataFrame:
@@ -76,10 +78,11 @@ def demo_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as facings: place and quantity give x, the flag the row, the part the label."""
     li = tables.load(spark, sf_dir, "lineitem")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))
+    li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag").withColumn("place", place)  # dealt before columns are made
     x = F.col("l_linenumber") * 30.0 + F.col("l_quantity") % 7
     y = F.when(F.col("l_returnflag") == "A", 0.0).when(F.col("l_returnflag") == "N", 60.0).otherwise(120.0) + F.col("l_quantity") % 5
     return li.select(
-        F.col("l_orderkey").alias("image"), place.alias("id"), x.alias("x1"), y.alias("y1"), (x + 20 + F.col("l_quantity") % 25).alias("x2"), (y + 50).alias("y2"),
+        F.col("l_orderkey").alias("image"), F.col("place").alias("id"), x.alias("x1"), y.alias("y1"), (x + 20 + F.col("l_quantity") % 25).alias("x2"), (y + 50).alias("y2"),
         F.col("l_extendedprice").cast("double").alias("score"), F.concat(F.lit("b"), F.col("l_partkey") % 5).alias("label"),
     )
 
@@ -400,33 +403,39 @@ def smooth_rows(boxes: DataFrame, most: float = 0.40, gap: float = 0.85, cosine_
     return by_image(boxes.select("image", "id", "x1", "y1", "x2", "y2", "answer", "confidence", "unit", "shortlist", "bay"), run, "image long, id int, answer long, smoothed boolean")
 
 
-def bands(boxes: DataFrame, near: float = 0.60, gap: float = 1.25, pad: float = 0.35) -> DataFrame:
-    """Rows by running mean, cut where a gap is over ``gap`` median widths; each segment's box, padded by shares of the medians (the upper
-    one of two) and clipped at 0, from the top: image, band, x1, y1, x2, y2, n."""
+#: near, gap and pad of ``bands``.
+BAND = (0.60, 1.25, 0.35)
+
+
+def image_bands(rows: list, near: float, gap: float, pad: float) -> list:
+    """The bands of one image's boxes."""
 
     def upper(values) -> float:
         values = sorted(max(1.0, v) for v in values)
         return values[len(values) // 2]
 
-    def run(rows: list) -> list:
-        out = []
-        for row in mean_rows(rows, near):
-            w, h = upper(r.x2 - r.x1 for r in row), upper(r.y2 - r.y1 for r in row)
-            row = sorted(row, key=lambda r: (r.x1, r.id))
-            segments, right = [[row[0]]], row[0].x2
-            for r in row[1:]:
-                if r.x1 - right <= gap * w:
-                    segments[-1].append(r)
-                    right = max(right, r.x2)
-                else:
-                    segments.append([r])
-                    right = r.x2
-            for g in segments:
-                x1, y1, x2, y2 = min(k.x1 for k in g) - pad * w, min(k.y1 for k in g) - pad * h, max(k.x2 for k in g) + pad * w, max(k.y2 for k in g) + pad * h
-                out.append((round(max(0.0, y1), 2), round(y2, 2), round(max(0.0, x1), 2), round(x2, 2), len(g)))
-        return [(rows[0].image, i, x1, y1, x2, y2, n) for i, (y1, y2, x1, x2, n) in enumerate(sorted(out))]
-
-    return by_image(boxes.select("image", "id", "x1", "y1", "x2", "y2"), run, "image long, band int, x1 double, y1 double, x2 double, y2 double, n int")
+    out = []
+    for row in mean_rows(rows, near):
+        w, h = upper(r.x2 - r.x1 for r in row), upper(r.y2 - r.y1 for r in row)
+        row = sorted(row, key=lambda r: (r.x1, r.id))
+        segments, right = [[row[0]]], row[0].x2
+        for r in row[1:]:
+            if r.x1 - right <= gap * w:
+                segments[-1].append(r)
+                right = max(right, r.x2)
+            else:
+                segments.append([r])
+                right = r.x2
+        for g in segments:
+            x1, y1, x2, y2 = min(k.x1 for k in g) - pad * w, min(k.y1 for k in g) - pad * h, max(k.x2 for k in g) + pad * w, max(k.y2 for k in g) + pad * h
+            out.append((round(max(0.0, y1), 2), round(y2, 2), round(max(0.0, x1), 2), round(x2, 2), len(g)))
+    return [(rows[0].image, i, x1, y1, x2, y2, n) for i, (y1, y2, x1, x2, n) in enumerate(sorted(out))]
+
+
+def bands(boxes: DataFrame, near: float = BAND[0], gap: float = BAND[1], pad: float = BAND[2]) -> DataFrame:
+    """Rows by running mean, cut where a gap is over ``gap`` median widths; each segment's box, padded by shares of the medians (the upper
+    one of two) and clipped at 0, from the top: image, band, x1, y1, x2, y2, n."""
+    return by_image(boxes.select("image", "id", "x1", "y1", "x2", "y2"), lambda rows: image_bands(rows, near, gap, pad), "image long, band int, x1 double, y1 double, x2 double, y2 double, n int")
 
 
 def demo_bays(spark: SparkSession, sf_dir: str) -> DataFrame:

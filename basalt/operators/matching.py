@@ -16,6 +16,17 @@ def candidates(predicted: DataFrame, truth: DataFrame, threshold: float = 0.5) -
     return pairs.where(F.col("iou") >= threshold)
 
 
+def best_pairs(pairs: list[tuple]) -> list[tuple]:
+    """Of (p, t, iou) of one image the best pair first, ties by the larger ids; every box at most once."""
+    seen_p, seen_t, out = set(), set(), []
+    for p, t, share in sorted(pairs, key=lambda x: (x[2], x[0].id, x[1].id), reverse=True):
+        if p.id not in seen_p and t.id not in seen_t:
+            seen_p.add(p.id)
+            seen_t.add(t.id)
+            out.append((p, t, share))
+    return out
+
+
 def greedy(pairs: DataFrame) -> DataFrame:
     """The best pair first, ties by the larger ids; every box at most once."""
 

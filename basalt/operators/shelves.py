@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from basalt.sources import tables
 from basalt.sources.shared import written
 
-from .geometry import bands as annotated_bands
-from .geometry import by_group, demo_bays, demo_boxes, inside_bay, planks, ratio
-from .matching import counts, greedy, match, scored
+from .geometry import BAND, by_group, demo_bays, demo_boxes, image_bands, inside_bay, overlap, planks, ratio
+from .matching import best_pairs, counts, greedy, match, scored
 
 SCOPE = ["image", "scope"]
 ROW = ["image", "scope", "plank"]
@@ -272,26 +271,53 @@ def linked_crops(boxes: DataFrame, crops: DataFrame, threshold: float = 0.5) ->
     return by_group(rows, ["image"], run, "image long, id int, crop long, how string")
 
 
-def tiers(predicted: DataFrame, truth: DataFrame, bands: DataFrame, threshold: float = 0.5) -> DataFrame:
+def tiers(predicted: DataFrame, truth: DataFrame, bands: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """Of each image, what the annotators named (tier 1), what stands in their bands (tier 2) and what lies beyond (tier 3).
 
-    predicted: boxes with product, brand (null: unidentified); truth: boxes with product, brand and others (a catch-all label); bands as ``geometry.bands``.
+    predicted: boxes with product, brand (null: unidentified); truth: boxes with product, brand and others (a catch-all label); bands as ``geometry.bands``
+    gives them, by default those of truth. An image's boxes meet once, for both matches and all counts.
     named, named_hits; in_band, band_hits, band_misses; others, upgraded (a named answer on a catch-all), extra, extra_products, extra_brands.
     """
-    a, b = predicted.alias("a"), bands.alias("b")
-    x, y = (F.col("a.x1") + F.col("a.x2")) / 2, (F.col("a.y1") + F.col("a.y2")) / 2
-    rise = F.greatest(F.lit(0.0), F.least("a.y2", "b.y2") - F.greatest("a.y1", "b.y1")) * F.greatest(F.lit(0.0), F.least("a.x2", "b.x2") - F.greatest("a.x1", "b.x1"))
-    within = (x.between(F.col("b.x1"), F.col("b.x2")) & y.between(F.col("b.y1"), F.col("b.y2"))) | (rise >= 0.5 * (F.col("a.x2") - F.col("a.x1")) * (F.col("a.y2") - F.col("a.y1")))
-    inner = a.join(b, (F.col("a.image") == F.col("b.image")) & within, "left_semi").select("a.*")
-    extra = predicted.join(inner.select("image", "id"), ["image", "id"], "left_anti")
-    pairs = match(predicted, truth, threshold).join(predicted.select("image", F.col("id").alias("p"), F.col("product").alias("answer"), F.col("brand").alias("said")), ["image", "p"])
-    pairs = pairs.join(truth.select("image", F.col("id").alias("t"), "product", "others"), ["image", "t"])
-    found = pairs.groupBy("image").agg(F.count_if(~F.col("others") & (F.col("answer") == F.col("product"))).alias("named_hits"), F.count_if(F.col("others") & F.col("said").isNotNull()).alias("upgraded"))
-    banded = match(inner, truth, threshold).groupBy("image").agg(F.count(F.lit(1)).alias("band_hits"))
-    out = truth.groupBy("image").agg(F.count_if(~F.col("others")).alias("named"), F.count_if("others").alias("others"), F.count(F.lit(1)).alias("n"))
-    more = extra.groupBy("image").agg(F.count(F.lit(1)).alias("extra"), F.count_distinct("product").alias("extra_products"), F.count_distinct("brand").alias("extra_brands"))
-    out = out.join(found, "image", "left").join(inner.groupBy("image").agg(F.count(F.lit(1)).alias("in_band")), "image", "left").join(banded, "image", "left").join(more, "image", "full").fillna(0)
-    return out.select("image", "named", "named_hits", "in_band", "band_hits", (F.col("n") - F.col("band_hits")).alias("band_misses"), "others", "upgraded", "extra", "extra_products", "extra_brands")
+    coordinates = ["x1", "y1", "x2", "y2"]
+    kind = lambda df, k, *more: df.select("image", F.lit(k).alias("kind"), *(F.col(c) for c in coordinates), *more)
+    of = lambda c: next(f.dataType for f in truth.schema if f.name == c)
+    no = lambda c: F.lit(None).cast(of(c)).alias(c)
+    rows = kind(predicted, "p", "id", F.col("product").cast(of("product")).alias("product"), "brand", no("others"))
+    rows = rows.unionByName(kind(truth, "t", "id", "product", "brand", "others"))
+    if bands is not None:
+        rows = rows.unionByName(kind(bands, "b", no("id"), no("product"), no("brand"), no("others")))
+
+    own, whole = bands is None, lambda r: None not in (r.x1, r.y1, r.x2, r.y2)
+
+    def within(a, b) -> bool:
+        if not whole(a):
+            return False
+        rise = max(0.0, min(a.y2, b[3]) - max(a.y1, b[1])) * max(0.0, min(a.x2, b[2]) - max(a.x1, b[0]))
+        return b[0] <= (a.x1 + a.x2) / 2 <= b[2] and b[1] <= (a.y1 + a.y2) / 2 <= b[3] or rise >= 0.5 * (a.x2 - a.x1) * (a.y2 - a.y1)
+
+    def run(rows: list) -> list:
+        said, true = ([r for r in rows if r.kind == k] for k in "pt")
+        if own:
+            spans = [b[2:6] for b in image_bands(true, *BAND)] if true else []
+        else:
+            spans = [(r.x1, r.y1, r.x2, r.y2) for r in rows if r.kind == "b" and whole(r)]
+        inner = [r for r in said if any(within(r, b) for b in spans)]
+        held = {r.id for r in inner}
+        extra = [r for r in said if r.id not in held]
+        if not true and not extra:
+            return []
+        touching = [(r, t, ratio(r, t)) for r in said if whole(r) for t in true if whole(t) and overlap(r, t) > 0]
+        pairs = [x for x in touching if x[2] >= threshold]
+        best = best_pairs(pairs)
+        named_hits = sum(t.others is False and r.product is not None and r.product == t.product for r, t, _ in best)
+        upgraded = sum(t.others is True and r.brand is not None for r, t, _ in best)
+        band_hits = len(best_pairs([x for x in pairs if x[0].id in held]))
+        some = lambda c: len({getattr(r, c) for r in extra} - {None})
+        n, named, others = len(true), sum(t.others is False for t in true), sum(t.others is True for t in true)
+        return [(rows[0].image, named, named_hits, len(inner) if true else 0, band_hits, n - band_hits, others, upgraded, len(extra), some("product"), some("brand"))]
+
+    names = "named, named_hits, in_band, band_hits, band_misses, others, upgraded, extra, extra_products, extra_brands"
+    return by_group(rows, ["image"], run, "image long, " + ", ".join(f"{c} long" for c in names.split(", ")))
 
 
 # stand-ins: boxes of ``demo_boxes``, their label as brand, one label unidentified, one the owner's
@@ -335,7 +361,7 @@ def _links(spark, d) -> DataFrame:
 def _tiers(spark, d) -> DataFrame:
     predicted, truth, _ = _products(spark, d)
     truth = truth.where("id <= 4")
-    return tiers(predicted, truth, annotated_bands(truth))
+    return tiers(predicted, truth)
 
 
 def _specs(spark, d) -> DataFrame:

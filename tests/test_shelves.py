@@ -246,3 +246,10 @@ def test_triplets_sisters_and_digests(spark):
     assert {r.split: (r.digest, r.n) for r in records.set_digests(rows, "split", "uri").collect()} == {"s": (sha256(b"a\nb").hexdigest(), 2), "t": (sha256("ü".encode()).hexdigest(), 1)}
     folders = spark.createDataFrame([("h", "soap"), ("h", "soap promo"), ("h", "soap promo xl"), ("k", "soap"), ("k", "soapy"), ("m", "one")], "h string, folder string")
     assert [tuple(r) for r in records.twin_unions(folders, " promo| xl").collect()] == [("h", "soap", 3)]
+
+
+@pytest.mark.parametrize(("name", "most"), [("a12_three_tier_metrics", 2)])
+def test_an_images_boxes_are_dealt_once(spark, name, most):
+    """The two readings of the boxes are dealt by image; what comes after stays where it is."""
+    plan = shelves.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= most
