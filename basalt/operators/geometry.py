@@ -198,7 +198,32 @@ def dedup_by_priority(boxes: DataFrame, overlap_at: float = 0.70, inside_at: flo
     return by_image(boxes, run, BOXES)
 
 
-def planks(boxes: DataFrame, by: tuple[str, ...] = ("image",), overlap_at: float = 0.40, near: float = 0.50) -> DataFrame:
+#: overlap_at and near of ``planks``.
+PLANK = (0.40, 0.50)
+
+
+def plank_rows(rows: list, overlap_at: float = PLANK[0], near: float = PLANK[1]) -> list[list]:
+    """The planks of one scope's boxes from the top, each from the left."""
+    shelves: list[dict] = []
+    for r in sorted(rows, key=lambda r: (r.y1 + r.y2, r.x1, r.id)):
+        height, middle, best = max(1.0, r.y2 - r.y1), (r.y1 + r.y2) / 2, (-1.0, None)
+        for s in shelves:
+            tallest = max(height, s["height"])
+            share = max(0.0, min(r.y2, s["bottom"]) - max(r.y1, s["top"])) / max(1.0, min(height, s["height"]))
+            away = abs(middle - s["middle"])
+            if (share >= overlap_at or away <= near * tallest) and share - away / tallest > best[0]:
+                best = share - away / tallest, s
+        s = best[1]
+        if s is None:
+            s = {"boxes": [], "top": r.y1, "bottom": r.y2}
+            shelves.append(s)
+        s["boxes"].append(r)
+        s |= {"top": min(s["top"], r.y1), "bottom": max(s["bottom"], r.y2), "middle": median((k.y1 + k.y2) / 2 for k in s["boxes"]), "height": median(max(1.0, k.y2 - k.y1) for k in s["boxes"])}
+    shelves.sort(key=lambda s: s["middle"])
+    return [sorted(s["boxes"], key=lambda k: (k.x1, k.y1, k.id)) for s in shelves]
+
+
+def planks(boxes: DataFrame, by: tuple[str, ...] = ("image",), overlap_at: float = PLANK[0], near: float = PLANK[1]) -> DataFrame:
     """Rows of boxes. From the top, a box may join a row whose span it overlaps by that share of the lesser height, or whose
     median centre is that near in heights; of several it joins the one with the largest overlap less distance, in heights.
 
@@ -206,23 +231,7 @@ def planks(boxes: DataFrame, by: tuple[str, ...] = ("image",), overlap_at: float
     """
 
     def run(rows: list) -> list:
-        shelves: list[dict] = []
-        for r in sorted(rows, key=lambda r: (r.y1 + r.y2, r.x1, r.id)):
-            height, middle, best = max(1.0, r.y2 - r.y1), (r.y1 + r.y2) / 2, (-1.0, None)
-            for s in shelves:
-                tallest = max(height, s["height"])
-                share = max(0.0, min(r.y2, s["bottom"]) - max(r.y1, s["top"])) / max(1.0, min(height, s["height"]))
-                away = abs(middle - s["middle"])
-                if (share >= overlap_at or away <= near * tallest) and share - away / tallest > best[0]:
-                    best = share - away / tallest, s
-            s = best[1]
-            if s is None:
-                s = {"boxes": [], "top": r.y1, "bottom": r.y2}
-                shelves.append(s)
-            s["boxes"].append(r)
-            s |= {"top": min(s["top"], r.y1), "bottom": max(s["bottom"], r.y2), "middle": median((k.y1 + k.y2) / 2 for k in s["boxes"]), "height": median(max(1.0, k.y2 - k.y1) for k in s["boxes"])}
-        shelves.sort(key=lambda s: s["middle"])
-        return [(*(getattr(k, c) for c in by), k.id, i, j) for i, s in enumerate(shelves) for j, k in enumerate(sorted(s["boxes"], key=lambda k: (k.x1, k.y1, k.id)))]
+        return [(*(getattr(k, c) for c in by), k.id, i, j) for i, row in enumerate(plank_rows(rows, overlap_at, near)) for j, k in enumerate(row)]
 
     schema = ", ".join(f"{c} long" for c in by) + ", id int, plank int, slot int"
     return by_group(boxes.select(*by, "id", "x1", "y1", "x2", "y2"), list(by), run, schema)

@@ -1,18 +1,23 @@
 """Shelf and planogram evaluation: rows of facings, their voids, brand blocks, and scores by scope.
 
 Facings are boxes (image, id, x1, y1, x2, y2) with ``brand`` (null: unidentified) and ``owner``. ``planks`` of ``geometry`` places them;
-everything after it is windows and aggregates over (image, scope, plank), so one image's rows never meet in one value.
+everything after it is windows and aggregates over (image, scope, plank). ``planogram``, which scores several scopes of an image, and ``tiers``
+take an image's boxes at once instead.
 """
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+from itertools import pairwise
+from statistics import median
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.sources import tables
 from basalt.sources.shared import written
 
-from .geometry import BAND, by_group, demo_bays, demo_boxes, image_bands, inside_bay, overlap, planks, ratio
+from .geometry import BAND, by_group, demo_bays, demo_boxes, image_bands, inside_bay, overlap, plank_rows, planks, ratio, size
 from .matching import best_pairs, counts, greedy, match, scored
 
 SCOPE = ["image", "scope"]
@@ -119,25 +124,75 @@ def per_bay(boxes: DataFrame, bays: DataFrame, factor: float = 1.5) -> DataFrame
     return evaluate(inner, walls, factor).join(intrusions(inner), SCOPE).withColumnRenamed("scope", "bay")
 
 
+def rounded(x: float) -> float:
+    """To 4 digits, half up, as Spark rounds."""
+    return float(Decimal(repr(x)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+
+
+def scope_scores(items: list, walls: tuple | None, any_known: bool, factor: float) -> dict:
+    """G18 of one scope's facings, as ``evaluate_rows`` gives it."""
+    rows, brands = plank_rows(items), {r.brand for r in items} - {None}
+    known = [r for r in items if r.brand is not None]
+    voids = missing = pairs = aligned = 0
+    pure = gap = length = 0.0
+    spans: list[dict] = []
+    for row in rows:
+        here = {r.brand for r in row} - {None}
+        changes = sum(a.brand is None or a.brand != b.brand for a, b in pairwise(row))
+        pure += len(row) * (0.0 if not here else 1.0 if len(row) == 1 else max(0.0, 1 - max(0, changes - len(here) + 1) / (len(row) - 1)))
+        middle = median(max(1.0, r.x2 - r.x1) for r in row)
+        edges = [(walls[0], row[0].x1), (row[-1].x2, walls[1])] if walls else []
+        for a, b in [(a.x2, b.x1) for a, b in pairwise(row)] + edges:
+            if b - a >= factor * middle:
+                voids, missing, gap = voids + 1, missing + max(1, round((b - a) / middle)), gap + b - a
+        a, b = walls or (row[0].x1, row[-1].x2)
+        length += max(1.0, b - a)
+        spans.append({k: (min(r.x1 for r in row if r.brand == k), max(r.x2 for r in row if r.brand == k)) for k in here})
+    for up, low in pairwise(spans):
+        for (lo, hi), (lo2, hi2) in ((up[k], low[k]) for k in up.keys() & low.keys()):
+            pairs += 1
+            aligned += max(0.0, min(hi, hi2) - max(lo, lo2)) / max(1.0, min(hi - lo, hi2 - lo2)) >= 0.30
+    owner = sum(r.owner is True for r in known)
+    return {
+        "facings": len(items), "owner_facings": owner, "rival_facings": sum(r.owner is False for r in known), "unidentified": len(items) - len(known), "owner_share": rounded(owner / len(items)),
+        "purity": rounded(pure / len(items)), "alignment": 0.0 if not any_known else 1.0 if not pairs else rounded(aligned / pairs), "brands": len(brands), "planks": len(rows),
+        "voids": voids, "missing": missing, "empty_share": rounded(min(1.0, gap / max(1.0, length))), "intrusions": len(items) - owner, "bay_purity": rounded(1 - (len(items) - owner) / len(items)),
+    }
+
+
 def planogram(boxes: DataFrame, bays: DataFrame, factor: float = 1.5) -> DataFrame:
     """G19, by image: scored inside its bays if any of them holds a facing (mode bay), else over the whole frame (mode frame).
 
-    With several bays, voids are the sum over bays, each within its own walls, and the empty share their mean.
+    With several bays, voids are the sum over bays, each within its own walls, and the empty share their mean. An image's facings and bays meet once.
     """
-    every = written(scoped(boxes, bays), "scoped")
-    count = bays.groupBy("image").agg(F.count(F.lit(1)).alias("bays"), F.min("x1").alias("lo"), F.max("x2").alias("hi"))
-    one = count.where("bays = 1").select("image", F.lit(BAYS).alias("scope"), "lo", "hi")
-    walls = bays.select("image", F.col("bay").cast("int").alias("scope"), F.col("x1").alias("lo"), F.col("x2").alias("hi")).unionByName(one)
-    scores = evaluate(every, walls, factor).join(intrusions(every), SCOPE)
-    frame, inner, each = (scores.where(w).drop("scope") for w in (f"scope = {FRAME}", f"scope = {BAYS}", "scope >= 0"))
-    sums = each.groupBy("image").agg(F.sum("voids").alias("v"), F.sum("missing").alias("m"), F.sum("empty_share").alias("e"))
-    inner = inner.join(count.select("image", "bays"), "image").join(sums, "image").withColumn("many", F.col("bays") > 1)
-    for c, total in (("voids", F.col("v")), ("missing", F.col("m")), ("empty_share", F.round(F.col("e") / F.col("bays"), 4))):
-        inner = inner.withColumn(c, F.when(F.col("many"), total).otherwise(F.col(c)))
-    inner = inner.drop("v", "m", "e", "many", "bays").withColumn("mode", F.lit("bay"))
-    rest = frame.join(inner, "image", "left_anti").withColumn("mode", F.lit("frame")).withColumn("intrusions", F.lit(0).cast("long")).withColumn("bay_purity", F.lit(1.0))
-    whole = frame.select("image", F.col("facings").alias("frame_facings"))
-    return inner.unionByName(rest).join(whole, "image").join(count.select("image", "bays"), "image", "left").fillna(0, ["bays"])
+    coordinates = ["x1", "y1", "x2", "y2"]
+    rows = boxes.select("image", F.lit(None).cast("int").alias("bay"), "id", *coordinates, "brand", "owner")
+    more = bays.select("image", F.col("bay").cast("int").alias("bay"), F.lit(None).cast(boxes.schema["id"].dataType).alias("id"), *coordinates)
+    rows = rows.unionByName(more, allowMissingColumns=True)
+
+    def inside(r, b) -> bool:
+        centre = b.x1 <= (r.x1 + r.x2) / 2 <= b.x2 and b.y1 <= (r.y1 + r.y2) / 2 <= b.y2
+        return centre or overlap(r, b) / max(1.0, size(r)) >= 0.45
+
+    def run(rows: list) -> list:
+        items, frames = [r for r in rows if r.bay is None], [r for r in rows if r.bay is not None]
+        if not items:
+            return []
+        known = any(r.brand is not None for r in items)
+        held = [[r for r in items if inside(r, b)] for b in frames]
+        within = {r.id for some in held for r in some}
+        if within:
+            out = scope_scores([r for r in items if r.id in within], (frames[0].x1, frames[0].x2) if len(frames) == 1 else None, known, factor) | {"mode": "bay"}
+            if len(frames) > 1:
+                each = [scope_scores(some, (b.x1, b.x2), known, factor) for b, some in zip(frames, held, strict=True) if some]
+                out |= {c: sum(e[c] for e in each) for c in ("voids", "missing")} | {"empty_share": rounded(sum(e["empty_share"] for e in each) / len(frames))}
+        else:
+            out = scope_scores(items, None, known, factor) | {"intrusions": 0, "bay_purity": 1.0, "mode": "frame"}
+        return [(items[0].image, *out.values(), len(items), len(frames))]
+
+    kinds = "facings long, owner_facings long, rival_facings long, unidentified long, owner_share double, purity double, alignment double, brands long, planks long"
+    kinds += ", voids long, missing long, empty_share double, intrusions long, bay_purity double, mode string, frame_facings long, bays long"
+    return by_group(rows, ["image"], run, "image long, " + kinds)
 
 
 def totals(scores: DataFrame, by: Column) -> DataFrame:

@@ -248,7 +248,7 @@ def test_triplets_sisters_and_digests(spark):
     assert [tuple(r) for r in records.twin_unions(folders, " promo| xl").collect()] == [("h", "soap", 3)]
 
 
-@pytest.mark.parametrize(("name", "most"), [("a12_three_tier_metrics", 2), ("a13_run_level_metrics", 3)])
+@pytest.mark.parametrize(("name", "most"), [("a12_three_tier_metrics", 2), ("a13_run_level_metrics", 3), ("g19_planogram", 2)])
 def test_an_images_boxes_are_dealt_once(spark, name, most):
     """The two readings of the boxes are dealt by image; what comes after stays where it is."""
     plan = shelves.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
