@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basalt.sources import tables
+from basalt.sources.shared import written
 
 
 def dot(a, b) -> Column:
@@ -48,12 +50,93 @@ def prototypes(items: DataFrame, by: str = "label", vector: str = "embedding") -
 BLOCK = 4096
 
 
+#: Vectors of a pack, and queries of a task.
+PACK, ASKED = 2048, 8192
+
+
+def packed(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of up to PACK keys and vectors each, as bytes; floats stay floats."""
+    wide = rows.schema["vector"].dataType.elementType.typeName() != "float"
+    kind = np.float64 if wide else np.float32
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                held.append(batch.slice(at, PACK - n))
+                n, at = n + held[-1].num_rows, at + held[-1].num_rows
+                if n == PACK:
+                    yield pack(held)
+                    held, n = [], 0
+        if n:
+            yield pack(held)
+
+    def pack(parts):
+        keys = np.concatenate([np.asarray(p.column(0)) for p in parts]).astype("<i8")
+        v = np.stack([x for p in parts for x in p.column(1).to_numpy(zero_copy_only=False)]).astype(kind)
+        return pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["keys", "vectors"])
+
+    return rows.select(F.col(key).cast("long"), F.col("vector").cast("array<double>" if wide else "array<float>")).mapInArrow(run, "keys binary, vectors binary")
+
+
+def nearest(queries: DataFrame, gallery: DataFrame, k: int, most: float | None) -> DataFrame:
+    """query, key and cos of each query's k nearest. The gallery is written once in packs; a task holds ASKED queries or so and their best, and
+    the packs pass it one after another, so disk grows with the rows of either side, not with their product."""
+    wide = {side.schema["vector"].dataType.elementType.typeName() != "float" for side in (queries, gallery)} != {False}
+    cast = lambda df: df.withColumn("vector", F.col("vector").cast("array<double>" if wide else "array<float>"))
+    kind = np.float64 if wide else np.float32
+    held = written(packed(cast(gallery), "key"), "packs").withColumnsRenamed({"keys": "g_keys", "vectors": "g_vectors"})
+    asked = packed(cast(queries).repartition(max(1, -(-queries.count() // ASKED)), "query"), "query")
+
+    def unit(data: bytes, n: int) -> np.ndarray:
+        v = np.frombuffer(data, kind).reshape(n, -1).astype(np.float64)
+        length = np.linalg.norm(v, axis=1, keepdims=True)
+        return np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+
+    def best(batches):
+        state: dict = {}
+        for batch in batches:
+            for at in range(batch.num_rows):
+                g_keys, g_vectors, q_keys, q_vectors = (batch.column(c)[at].as_py() for c in ("g_keys", "g_vectors", "keys", "vectors"))
+                keys, asks = np.frombuffer(g_keys, "<i8"), np.frombuffer(q_keys, "<i8")
+                if q_keys not in state:
+                    state[q_keys] = unit(q_vectors, len(asks)), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+                v, rows, near, cosines = state[q_keys]
+                cos = np.round(v @ unit(g_vectors, len(keys)).T, 6)
+                if most is not None:
+                    cos[(cos > most) | (asks[:, None] == keys[None, :])] = -np.inf
+                least = np.full(len(asks), -np.inf)  # a query's k-th best so far, or in this pack
+                full = np.flatnonzero(np.bincount(rows, minlength=len(asks)) >= k)
+                if len(full):
+                    np.minimum.at(floor := np.full(len(asks), np.inf), rows, cosines)
+                    least[full] = floor[full]
+                elif len(keys) > k:
+                    least = np.partition(cos, len(keys) - k, axis=1)[:, len(keys) - k]
+                r, c = np.nonzero((cos >= least[:, None]) & (cos > -np.inf))
+                rows, near, cosines = np.append(rows, r), np.append(near, keys[c]), np.append(cosines, cos[r, c])
+                order = np.lexsort((near, -cosines, rows))
+                rows = rows[order]
+                first = np.searchsorted(rows, np.arange(len(asks)))
+                top = np.arange(len(rows)) - first[rows] < k
+                state[q_keys] = v, rows[top], near[order][top], cosines[order][top]
+        for q_keys, (_, rows, near, cosines) in state.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(q_keys, "<i8")[rows]), pa.array(near), pa.array(cosines)], ["query", "key", "cos"])
+
+    pairs = held.coalesce(1).crossJoin(asked.hint("shuffle_replicate_nl"))
+    return pairs.mapInArrow(best, "query long, key long, cos double")
+
+
 def top_k(queries: DataFrame, gallery: DataFrame, k: int, most: float | None = None, scope: str | None = None) -> DataFrame:
     """Each query's k nearest gallery vectors by cosine, rounded to 6 digits, ties by key: query, key, cos and place (from 1).
 
     queries (query, vector) and gallery (key, vector), both with the column ``scope`` if only equal scopes meet. most: only cosines up to it,
-    of other keys than the query, count. Blocks of both sides are multiplied, each pair in a task that returns k rows a query; no pair of vectors is a row.
+    of other keys than the query, count. No pair of vectors is a row. Without scopes each task reads the whole gallery by its queries, see ``nearest``;
+    with them blocks of both sides are multiplied, each pair in a task that returns k rows a query.
     """
+    if scope is None:
+        near = nearest(queries, gallery, k, most)
+        return near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cos"), "key"))).where(F.col("place") <= k)
     # a third of a block's size on average, whatever the skew of a scope: blocks are dealt by hash over all scopes
     n_q, n_g = (max(1, -(-df.count() // BLOCK)) for df in (queries, gallery))
     side = lambda df, key, n: df.select(F.col(key).cast("long").alias("key"), F.col("vector").cast("array<double>").alias("vector"), (F.col(scope).cast("string") if scope else F.lit("")).alias("scope"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("own"))

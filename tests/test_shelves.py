@@ -253,3 +253,19 @@ def test_an_images_boxes_are_dealt_once(spark, name, most):
     """The two readings of the boxes are dealt by image; what comes after stays where it is."""
     plan = shelves.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") <= most
+
+
+def test_nearest_neighbours_need_no_copies_of_vectors(spark, monkeypatch):
+    """Packs of 8 and tasks of 16 queries: no vector is exploded, and ties and the mask are as by brute force."""
+    monkeypatch.setattr(vectors, "PACK", 8)
+    monkeypatch.setattr(vectors, "ASKED", 16)
+    draw = np.random.default_rng(3)
+    points = draw.integers(-2, 3, (70, 3)).astype(float)  # many equal cosines, some zero vectors
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "query long, vector array<double>").repartition(3)
+    near = vectors.top_k(frame, frame.withColumnRenamed("query", "key"), 4, most=0.82)
+    assert "explode" not in near._jdf.queryExecution().optimizedPlan().toString().lower()
+    length = np.linalg.norm(points, axis=1, keepdims=True)
+    units = np.divide(points, length, out=np.zeros_like(points), where=length > 0)
+    cos = np.round(units @ units.T, 6)
+    want = {(i, j, float(cos[i, j]), n + 1) for i in range(70) for n, j in enumerate(sorted((j for j in range(70) if j != i and cos[i, j] <= 0.82), key=lambda j: (-cos[i, j], j))[:4])}
+    assert {tuple(r) for r in near.select("query", "key", "cos", "place").collect()} == want
