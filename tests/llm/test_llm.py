@@ -311,3 +311,14 @@ def test_fine_estimates_are_near():
         real = len(np.intersect1d(one, two)) / len(np.union1d(one, two))
         a, b = (np.frombuffer(minhash.nibbles(minhash.fine(x)), np.uint8) for x in (one, two))
         assert abs(minhash.fine_estimates(a, b[None])[0] - real) < minhash.FINE_MARGIN
+
+
+def test_quality_fits_on_every_label(spark, monkeypatch):
+    """No limit stands between the labels and the model; trusted counts are those of all good documents."""
+    rows = [(i, " ".join(f"{'fine' if i % 2 else 'poor'}{(i * 7 + j) % 30}" for j in range(60))) for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    seen, count = [], quality.count_bins
+    monkeypatch.setattr(type(docs), "limit", lambda *a: pytest.fail("labels are capped"))
+    monkeypatch.setattr(quality, "count_bins", lambda *a: seen.append(count(*a)) or seen[-1])
+    model = quality.fit(docs, labels)
+    assert model.threshold is not None and [int(x.sum()) for x in seen] == [30 * (60 + 59), 60 * (60 + 59)]
