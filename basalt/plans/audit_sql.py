@@ -57,6 +57,10 @@ _TEXTS: dict[str, str] = {
 def _spark(s: str) -> str:
     # BETWEEN names its operand once: in a correlated subquery Spark then joins all distinct boxes with all bays before the image
     s = re.sub(r"(\(a\.\w+ \+ a\.\w+\) / 2\.0D|a\.y2) BETWEEN (b\.\w+) AND (b\.\w+)", r"(\1 >= \2 AND \1 <= \3)", s)
+    # a semi join, which EXISTS becomes after that, passes the bays' images on to the scan of the boxes
+    s = re.sub(r"WHERE EXISTS \(SELECT 1 FROM bay b WHERE (.*)\)$", r"LEFT SEMI JOIN bay b ON \1", s)
+    # lines are dealt as they were read and become boxes after: narrower rows, and a join by image finds them dealt
+    s = re.sub(r"CAST\((row_number\(\) OVER \([^)]*\)) AS BIGINT\) AS id(.*?)FROM lineitem", r"CAST(place AS BIGINT) AS id\2FROM (SELECT *, \1 AS place FROM lineitem)", s, flags=re.DOTALL)
     return re.sub(r"\{h\}(.*?)\{/h\}", r"CAST(conv(substr(md5(\1), 1, 8), 16, 10) AS BIGINT)", s).replace("{seq}", "SELECT id FROM range(0, 10000)")
 
 

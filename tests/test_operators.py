@@ -1,3 +1,4 @@
+import re
 from decimal import Decimal
 from pathlib import Path
 
@@ -108,3 +109,14 @@ def test_compare_populations(spark):
 def test_boxes_meet_bays_of_their_image_alone(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("name", ["j10_inside_bay", "j11_inside_bay_two_rules"])
+def test_boxes_are_dealt_once_and_without_images_that_have_no_bay(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange ") == 2  # lines, bays
+    assert re.search(r"\(l_orderkey#\d+L % 2\) = 0", plan)  # bays are of even images, and so are the lines that are dealt
