@@ -255,6 +255,13 @@ def test_an_images_boxes_are_dealt_once(spark, name, most):
     assert plan.count("Exchange ") <= most
 
 
+@pytest.mark.parametrize("name", ["a12_three_tier_metrics", "a13_run_level_metrics"])
+def test_said_and_true_boxes_share_one_dealing_of_the_lines(spark, name):
+    df = shelves.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nearest_neighbours_need_no_copies_of_vectors(spark, monkeypatch):
     """Packs of 8 and tasks of 16 queries: no vector is exploded, and ties and the mask are as by brute force."""
     monkeypatch.setattr(vectors, "PACK", 8)
