@@ -322,3 +322,18 @@ def test_quality_fits_on_every_label(spark, monkeypatch):
     monkeypatch.setattr(quality, "count_bins", lambda *a: seen.append(count(*a)) or seen[-1])
     model = quality.fit(docs, labels)
     assert model.threshold is not None and [int(x.sum()) for x in seen] == [30 * (60 + 59), 60 * (60 + 59)]
+
+
+def test_labels_go_to_the_texts(spark, monkeypatch):
+    """Texts are not dealt, but for those at places of the filters that tell nothing; every labelled row comes once with its side."""
+    monkeypatch.setattr(substring, "FILTER_BITS", 16)
+    rows = [(i, f"t{i}") for i in range(6000)] + [(6, "again"), (7, None), (None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sides = spark.createDataFrame([(i, i % 6 == 0) for i in range(0, 9000, 3)], "doc_id long, good boolean")  # the last ones have no document
+    scratch = Scratch(spark, "test")
+    known, _ = quality.labelled(docs, sides, scratch)
+    assert sorted((r.good, r.text) for r in known.collect()) == sorted((i % 6 == 0, t) for i, t in rows if i is not None and i % 3 == 0)
+    assert "Join" not in known._jdf.queryExecution().executedPlan().toString()
+    unsure = spark.read.parquet(f"{scratch.folder}/unsure").count()
+    assert 0 < unsure < 600  # some 3,000 of 65,536 places are taken
+    scratch.drop()
