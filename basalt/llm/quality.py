@@ -101,13 +101,13 @@ def best_threshold(good: np.ndarray, bad: np.ndarray) -> float | None:
     return float((at[max(0, best - 1)] + at[best]) / 2)
 
 
-def count_bins(docs: DataFrame) -> np.ndarray:
-    """Counts by bin over all documents; tasks send dense chunks, which others add up."""
+def count_bins(docs: DataFrame, those=lambda batches: batches) -> np.ndarray:
+    """Counts by bin over all documents, or over those of each task's batches; tasks send dense chunks, which others add up."""
     size = 1 << BITS
 
     def count(batches):
         memo, total = word_hashes(), np.zeros(size, np.int64)
-        for batch in batches:
+        for batch in those(batches):
             for (texts,) in slices(batch, "text"):
                 found = [bins(hashes_of(t.encode().split(), memo)) for t in texts if t]
                 if found:
@@ -129,7 +129,7 @@ def count_bins(docs: DataFrame) -> np.ndarray:
 
     schema = "chunk int, n array<long>"
     out = np.zeros(size, np.int64)
-    for row in docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():  # at most 2^18 counts
+    for row in docs.mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():  # at most 2^18 counts
         out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] += np.asarray(row.n)
     return out
 
@@ -146,7 +146,8 @@ def where_set(docs: DataFrame, shared, columns: str, schema: str) -> DataFrame:
 
 
 def labelled(docs: DataFrame, sides: DataFrame, scratch: Scratch) -> tuple:
-    """good and text of every document in sides (doc_id, good), and the broadcast filters that this reads.
+    """A frame, the function that makes of its batches good and text of every document in sides (doc_id, good), and the broadcast filters it reads.
+    Callers run the function within their own: a second Python stage in a task would be a second worker.
 
     The sides go to the texts, as two filters of 2^27 bits whatever the labels. A place that both sides have, or a document
     without a label (found by ids alone), tells nothing: the texts at such places meet their sides by a join.
@@ -164,16 +165,18 @@ def labelled(docs: DataFrame, sides: DataFrame, scratch: Scratch) -> tuple:
     def told(batches):
         for batch in batches:
             fine, poor = (passes(x, np.asarray(batch.column("place"))) for x in shared.value)
-            some = fine | poor
-            yield pa.RecordBatch.from_arrays([pa.array(fine[some]), batch.column("text").filter(pa.array(some))], ["good", "text"])
+            good = batch.column("good")
+            met, side = (x.to_numpy(zero_copy_only=False) for x in (good.is_valid(), good.fill_null(False)))
+            side, some = np.where(met, side, fine), met | fine | poor
+            yield pa.RecordBatch.from_arrays([pa.array(side[some]), batch.column("text").filter(pa.array(some))], ["good", "text"])
 
-    found = docs.select("text", "place").mapInArrow(told, "good boolean, text string")
+    found = docs.select(F.lit(None).cast("boolean").alias("good"), "text", "place")
     if not unsure.any():
-        return found, shared
+        return found, told, shared
     odd = broadcast(unsure)
     rest = scratch.keep(where_set(docs, odd, "doc_id text", "doc_id long, text string").join(sides, "doc_id").select("good", "text"), "unsure")
     odd.unpersist()
-    return found.unionByName(rest), shared
+    return found.unionByName(rest.withColumn("place", F.lit(0).cast("long"))), told, shared
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -185,18 +188,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if sides.select("good").distinct().count() < 2:
         return Model(None, None)
     scratch = Scratch(spark, "quality")
-    known, filters = labelled(docs, sides, scratch)
-    trusted = count_bins(known.where("good"))
+    known, told, filters = labelled(docs, sides, scratch)
+    trusted = count_bins(known, lambda batches: (b.filter(b.column("good")) for b in told(batches)))
     if not trusted.any():
         filters.unpersist()
         scratch.drop()
         return Model(None, None)
-    raw = count_bins(docs)
+    raw = count_bins(docs.select("text"))
     shared = spark.sparkContext.broadcast((np.log((raw + 1) / (raw.sum() + len(raw))), trusted))
 
     def scored(batches):
         memo = word_hashes()
-        for batch in batches:
+        for batch in told(batches):
             for side, texts in slices(batch, "good", "text"):
                 found = [(g, s) for g, t in zip(side, texts, strict=True) if t and (s := held_out(hashes_of(t.encode().split(), memo), *shared.value, g)) is not None]
                 if found:

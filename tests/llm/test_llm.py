@@ -331,7 +331,8 @@ def test_labels_go_to_the_texts(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     sides = spark.createDataFrame([(i, i % 6 == 0) for i in range(0, 9000, 3)], "doc_id long, good boolean")  # the last ones have no document
     scratch = Scratch(spark, "test")
-    known, _ = quality.labelled(docs, sides, scratch)
+    frame, told, _ = quality.labelled(docs, sides, scratch)
+    known = frame.mapInArrow(told, "good boolean, text string")
     assert sorted((r.good, r.text) for r in known.collect()) == sorted((i % 6 == 0, t) for i, t in rows if i is not None and i % 3 == 0)
     assert "Join" not in known._jdf.queryExecution().executedPlan().toString()
     unsure = spark.read.parquet(f"{scratch.folder}/unsure").count()
