@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, freed
 from .words import hashes_of, mix, windows, word_hashes
 
 WIDTH, GRAM = 20, 8
@@ -336,12 +336,15 @@ def dedup_batch(batch: DataFrame, index: Index, width: int = WIDTH, gram: int =
 
     Every document of the index comes before the batch.
     """
-    scratch = Scratch(batch.sparkSession, "substring")
-    index.compact()
-    history = [index.read(name) for name in index.runs]
-    name = index.write(run_rows(batch, width, gram))
-    bits = batch.sparkSession.sparkContext.broadcast(bit_filter(shared_fingerprints(index.read(name), history)))
-    found = scratch.keep(repeats(batch.select("doc", "salt", "text"), history, bits, width, gram), "repeats")  # before a later batch replaces the runs
+    spark = batch.sparkSession
+    scratch = Scratch(spark, "substring")
+    with freed(spark):
+        index.compact()
+        history = [index.read(name) for name in index.runs]
+        name = index.write(run_rows(batch, width, gram))
+        bits = spark.sparkContext.broadcast(bit_filter(shared_fingerprints(index.read(name), history)))
+        found = scratch.keep(repeats(batch.select("doc", "salt", "text"), history, bits, width, gram), "repeats")  # before a later batch replaces the runs
+    bits.destroy()
     index.add(name)
     return batch.join(found, ["doc", "salt"], "left")
 
@@ -349,13 +352,15 @@ def dedup_batch(batch: DataFrame, index: Index, width: int = WIDTH, gram: int =
 def dedup(docs: DataFrame, batches: int | tuple[float, ...] = CUTS, index: Index | None = None, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc, salt, doc_id, text and runs of all rows, taken in batches of rising ids: so many of about one size, or cut at those shares of the rows.
 
-    index: of earlier documents, else an empty one that ends with the session.
+    index: of earlier documents, else an empty one that goes after the last batch.
     """
     spark = docs.sparkSession
-    index = index or Index(spark, f"{Scratch(spark, 'index').folder}/runs", most_runs=1)
+    scratch = Scratch(spark, "index")
+    index = index or Index(spark, f"{scratch.folder}/runs", most_runs=1)
     docs = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
     shares = [k / batches for k in range(1, batches)] if isinstance(batches, int) else list(batches)
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 1000).alias("q")).first().q or [] if shares else []
+    with freed(spark):
+        cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 1000).alias("q")).first().q or [] if shares else []
     out, low = None, None
     for high in [*sorted(set(cuts)), None]:
         batch = docs
@@ -365,6 +370,7 @@ def dedup(docs: DataFrame, batches: int | tuple[float, ...] = CUTS, index: Index
             batch = batch.where(F.col("doc_id") <= high)
         done = dedup_batch(prepared(batch), index, width, gram)
         out, low = done if out is None else out.unionByName(done), high
+    scratch.drop()  # the rows read the texts and the repeats alone
     return out
 
 

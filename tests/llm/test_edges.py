@@ -2,14 +2,16 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from basalt.llm import bpe, embed_dedup, line_dedup, minhash, mixing, pii, quality, substring
+from basalt.llm import bpe, embed_dedup, line_dedup, minhash, mixing, pii, quality, scratch, substring
 
 CLASHES = ["__size", "__id", "__drop", "__text", "__taken", "__entities", "__gone", "__copies", "id", "said", "row", "drop", "stay", "size", "taken", "same", "of", "n", "copies", "copy", "whole_text", "text_key", "pattern", "surrogates", "n_lines", "n_gone"]
 
@@ -229,6 +231,24 @@ def test_windows_that_differ_in_one_word_stay(spark):
         assert {i for i, n in got.items() if n} == {300} and got[300] == 20
 
 
+def test_batches_leave_no_shuffles_and_no_index(spark, tmp_path):
+    """Once the repeats are told, shuffle files and the query's own index take no disk; an index that the caller names stays, the setting is as before."""
+    env, key = spark.sparkContext._jvm.org.apache.spark.SparkEnv, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = lambda: {f.name for d in env.get().blockManager().diskBlockManager().localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i % 5 * 40 + j) % 120}" for j in range(60))) for i in range(80)], "doc_id long, text string")
+    folder = Path(scratch.shared_folder(spark).removeprefix("file://"))
+    index = substring.Index(spark, f"file://{tmp_path}/index", most_runs=1)
+    before, old, set_ = held(), set(folder.glob("index-*")), spark.conf.get(key, None)
+    own, named = substring.dedup(docs), substring.dedup(docs, index=index)
+    until = time.time() + 10  # block managers delete in the background
+    while held() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not held() - before and set(folder.glob("index-*")) == old and spark.conf.get(key, None) == set_
+    assert len(substring.Index.open(spark, index.folder).runs) == 2 and all((tmp_path / "index" / r).is_dir() for r in index.runs)
+    got = [sorted(tuple(r) for r in substring.digests(rows).collect()) for rows in (own, own, named)]
+    assert got[0] == got[1] == got[2] and sum(r[2] for r in got[0]) > 3000  # a row read twice is whole both times
+
+
 def test_chat_on_odd_tables(spark, tmp_path):
     """No conversation at all; repeated rows are turns of their own; null ids, roles and texts."""
     from hashlib import sha256
